@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hmm, htmltext, language, mixing, passage_dedup, quality, toxicity
+from . import decontamination, exact_dedup, hmm, htmltext, language, mixing, passage_dedup, quality, toxicity
 from .session import table
 
 
@@ -22,6 +22,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.passages_query(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_passage_dedup": op6_passage_dedup,
     "op7_html_text": op7_html_text,
     "op8_lm_score": op8_lm_score,
