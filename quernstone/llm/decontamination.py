@@ -1,6 +1,6 @@
 """Finds benchmark passages in documents by latent semantic retrieval.
 
-Words (ASCII lower-cased, without punctuation at their ends) are weighted by
+Words (lower-cased in ASCII and Latin-1, without punctuation at their ends) are weighted by
 IDF over all documents.  A distributed randomised SVD of the TF-IDF passages of
 the documents and of the benchmark gives a latent space: each partition adds up
 ``A'(A omega)`` for its passages, the sums are added, and an orthonormal basis
@@ -51,7 +51,7 @@ PUNCTUATION[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = Tr
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every word; words of punctuation alone are left out."""
-    low = K.LOWER[buf]
+    low = K.folded(buf)
     start, end, doc = K.word_spans(low, off)
     if not len(start):
         return np.zeros(0, np.uint64), doc

@@ -41,6 +41,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Lower case of the letters of ASCII and of the Latin-1 block (two bytes, the first 0xC3)."""
+    low = LOWER[buf]
+    second = np.zeros(len(buf), bool)
+    second[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+    low[second] += 32
+    return low
+
+
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of at most limit bytes, or of one row."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, hmm, htmltext, language, mixing, passage_dedup, quality, toxicity
+from . import decontamination, exact_dedup, hmm, htmltext, jaccard_join, language, mixing, passage_dedup, quality, toxicity
 from .session import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_query(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_language": op2_language,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,

@@ -36,8 +36,8 @@ SCHEMA = "doc_id long, severity double, p_toxic double, grade int, is_toxic bool
 
 
 def word_features(buf: np.ndarray, off: np.ndarray):
-    """Yields (text number, word number, hash) for each kind of feature; words are lower-cased in ASCII."""
-    buf = K.LOWER[buf]
+    """Yields (text number, word number, hash) for each kind of feature; words are lower-cased in ASCII and Latin-1."""
+    buf = K.folded(buf)
     start, end, doc = K.word_spans(buf, off)
     # punctuation at the ends of a word doesn't count
     for _ in range(3):
