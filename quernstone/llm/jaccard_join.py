@@ -40,6 +40,7 @@ from . import kernels as K
 from . import packed
 from . import signature_tree as tree
 from .components import components
+from .grouped import by_group
 from .session import cut, partitions
 
 WORDS = 5
@@ -172,24 +173,32 @@ class Union:
         self.up[self.root(x)] = self.root(y)
 
 
+def _pairs(sets: list[np.ndarray]):
+    """Pairs that may be similar: all of one leaf, or what a tree of leaves leaves over."""
+    if len(sets) <= tree.FANOUT:
+        yield np.triu_indices(len(sets), 1)
+    else:
+        yield from tree.pairs(_leaves(sets))
+
+
 def _leaves(sets: list[np.ndarray]) -> tree.Nodes:
     bits = np.stack([tree.bitmap(s) for s in sets])
     n = np.array([len(s) for s in sets])
     return tree.Nodes(bits, bits, n, n)
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(table: pa.Table) -> list:
     """Links that connect all similar members of a block, found through a signature tree."""
     sets = [_u64(t) for t in table.column("tokens")]
     reps = table.column("rep").to_pylist()
     union, a, b = Union(len(sets)), [], []
-    for xs, ys in tree.pairs(_leaves(sets)):
+    for xs, ys in _pairs(sets):
         for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
             if union.root(x) != union.root(y) and tree.similar(sets[x], sets[y]):
                 union.join(x, y)
                 a.append(reps[x])
                 b.append(reps[y])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return [np.array(a, np.int64), np.array(b, np.int64)]
 
 
 def _bitmaps(batches):
@@ -199,33 +208,34 @@ def _bitmaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), *(pa.array(bits[:, i].view(np.int64).copy()) for i in range(tree.WORDS))], ["rep", "n", *names])
 
 
-def _candidates(table: pa.Table) -> pa.Table:
+def _candidates(table: pa.Table) -> list:
     """Pairs of components of one shingle that a signature tree can't rule out."""
     either, every = (np.stack([table.column(f"{p}{i}").to_numpy().view(np.uint64) for i in range(tree.WORDS)], 1) for p in ("o", "a"))
     comp = table.column("comp").to_numpy()
     part, (i, j) = table.column("part").to_numpy(), (table.column(c)[0].as_py() for c in ("i", "j"))
     x, y = [], []
-    for p, q in tree.pairs(tree.Nodes(either, every, table.column("low").to_numpy(), table.column("high").to_numpy())):
+    nodes = tree.Nodes(either, every, table.column("low").to_numpy(), table.column("high").to_numpy())
+    for p, q in tree.pairs(nodes):
         ok = (comp[p] != comp[q]) & ((part[p] != part[q]) | (i == j))
         x.append(np.minimum(comp[p], comp[q])[ok])
         y.append(np.maximum(comp[p], comp[q])[ok])
     empty = np.zeros(0, np.int64)
-    return pa.table({"x": pa.array(np.concatenate([empty, *x])), "y": pa.array(np.concatenate([empty, *y]))})
+    return [np.concatenate([empty, *x]), np.concatenate([empty, *y])]
 
 
-def _cross_links(table: pa.Table) -> pa.Table:
+def _cross_links(table: pa.Table) -> list:
     """Which partner components have a member similar to one of the larger component's members here."""
     other = table.column("other").to_numpy()
     big = table.column("big")[0].as_py()
     sets = [_u64(t) for t in table.column("tokens")]
     linked: set[int] = set()
-    for xs, ys in tree.pairs(_leaves(sets)):
+    for xs, ys in _pairs(sets):
         ok = (other[xs] == big) != (other[ys] == big)
         for x, y in zip(xs[ok].tolist(), ys[ok].tolist(), strict=True):
             o = int(other[x] if other[y] == big else other[y])
             if o not in linked and tree.similar(sets[x], sets[y]):
                 linked.add(o)
-    return pa.table({"a": pa.array([big] * len(linked), pa.int64()), "b": pa.array(sorted(linked), pa.int64())})
+    return [np.full(len(linked), big), np.array(sorted(linked), np.int64)]
 
 
 def _spread(count, size: int):
@@ -257,14 +267,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     keys = reps.mapInArrow(_min_keys, "rep long, key long").distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     placed = keys.join(shared, "key").select("rep", "key", _part("rep", _spread(F.col("members"), BLOCK)).alias("part"))
-    links = placed.join(reps.select("rep", "tokens"), "rep").groupBy("key", "part").applyInArrow(_block_links, "a long, b long")
+    links = by_group(placed.join(reps.select("rep", "tokens"), "rep"), ["key", "part"], _block_links, ["a", "b"])
     nodes = reps.select(F.col("rep").alias("node"))
     near = cut(components(nodes, links).withColumnRenamed("node", "rep"))
 
     # links that are left, between components with a common shingle of the prefix
     token = F.explode(F.expr("transform(sequence(1, int(octet_length(prefix) / 8)), i -> xxhash64(substring(prefix, 8 * i - 7, 8)))"))
     by_token = reps.select("rep", token.alias("token")).join(near, "rep").select("token", "comp").distinct()
-    shared = by_token.groupBy("token").agg(F.count("*").alias("comps")).where("comps > 1")
+    # of the shingles with the same components one will do
+    h = F.xxhash64("comp", F.lit("one")), F.xxhash64("comp", F.lit("two"))
+    shared = by_token.groupBy("token").agg(F.count("*").alias("comps"), F.bit_xor(h[0]).alias("s1"), F.bit_xor(h[1]).alias("s2")).where("comps > 1")
+    shared = shared.groupBy("s1", "s2", "comps").agg(F.min("token").alias("token")).select("token", "comps")
     meets = cut(by_token.join(shared, "token"))
     wanted = meets.select("comp").distinct()
     words = range(tree.WORDS)
@@ -278,7 +291,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     parts = _spread(F.col("comps"), TREE_BLOCK)
     placed = meets.withColumn("part", _part("comp", parts)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     placed = placed.select("token", "comp", "part", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
-    pairs = placed.join(summary, "comp").groupBy("token", "i", "j").applyInArrow(_candidates, "x long, y long").distinct()
+    pairs = by_group(placed.join(summary, "comp"), ["token", "i", "j"], _candidates, ["x", "y"]).distinct()
     sizes = summary.select(F.col("comp").alias("c"), "size")
     sized = pairs.join(sizes.select(F.col("c").alias("x"), F.col("size").alias("sx")), "x").join(sizes.select(F.col("c").alias("y"), F.col("size").alias("sy")), "y")
     first = F.col("sx") >= F.col("sy")
@@ -287,7 +300,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     one = near.join(grid, near.comp == grid.big).select("rep", "big", F.col("big").alias("other"), _part("rep", F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"))
     two = pairs.select("big", "other").join(grid, "big").join(near.withColumnRenamed("comp", "other"), "other")
     two = two.select("rep", "big", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), _part("rep", F.col("columns")).alias("j"))
-    more = one.unionByName(two).join(reps.select("rep", "tokens"), "rep").groupBy("big", "i", "j").applyInArrow(_cross_links, "a long, b long")
+    more = by_group(one.unionByName(two).join(reps.select("rep", "tokens"), "rep"), ["big", "i", "j"], _cross_links, ["a", "b"])
     joined = components(near.select(F.col("comp").alias("node")), more)
     final = near.join(joined, near.comp == joined.node).select("rep", joined.comp.alias("component_id"))
 

@@ -53,6 +53,12 @@ def pairs(leaves: Nodes):
     m = len(leaves.low)
     if m < 2:
         return
+    if m <= FANOUT:
+        a, b = np.triu_indices(m, 1)
+        ok = leaves.possible(a, b)
+        if ok.any():
+            yield a[ok], b[ok]
+        return
     order = np.lexsort((leaves.every[:, 0], leaves.low))
     levels = [Nodes(leaves.either[order], leaves.every[order], leaves.low[order], leaves.high[order])]
     while len(levels[-1].low) > 1:
