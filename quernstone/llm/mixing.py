@@ -27,6 +27,7 @@ SLOTS = 1 << 20  # at most so many slots (and so blocks) are planned
 LEAST_BLOCK = 16
 GOLDEN = 0.6180339887498949
 CHUNK = 4096
+UNITS = 10_000  # of a word: cumulative targets are sums of whole numbers, the same in any order
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,7 +56,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     unit = F.min(F.when(fits, F.struct("weight_before", ((F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))).alias("unit")))).over(every)["unit"]
     w = w.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(unit, F.lit(0.0)) * F.col("weight")))
     ordered = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    w = w.withColumns({"high": F.sum("target").over(ordered) / F.greatest(F.col("total"), F.lit(1)), "block": F.greatest(F.lit(LEAST_BLOCK).cast("long"), F.expr(f"(total + {SLOTS - 1}) div {SLOTS}"))})
+    w = w.withColumns({"high": F.sum(F.floor(F.col("target") * UNITS + 0.5)).over(ordered) / UNITS / F.greatest(F.col("total"), F.lit(1)), "block": F.greatest(F.lit(LEAST_BLOCK).cast("long"), F.expr(f"(total + {SLOTS - 1}) div {SLOTS}"))})
     return w.select("source", "rank", "source_size", "target", "high", "block", F.expr("(total + block - 1) div block").alias("slots"))
 
 
@@ -119,7 +120,7 @@ w2 AS (SELECT *, (sum(weight) OVER ())::BIGINT AS weights,
 u AS (SELECT arg_min((total - cap_before)::DOUBLE / (weights - weight_before)::DOUBLE, weight_before) AS unit FROM w2
       WHERE (total - cap_before) * weight <= cap * (weights - weight_before)),
 t AS (SELECT source, rank, source_size, total, least(cap::DOUBLE, coalesce(unit, 0) * weight) AS target FROM w2, u),
-g AS (SELECT *, sum(target) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) / greatest(total, 1) AS high, greatest(16, (total + 1048575) // 1048576) AS block FROM t),
+g AS (SELECT *, (sum(floor(target * 10000 + 0.5)::BIGINT) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING))::BIGINT / 10000 / greatest(total, 1) AS high, greatest(16, (total + 1048575) // 1048576) AS block FROM t),
 points AS (SELECT j AS slot, (j + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS y FROM (SELECT unnest(range((SELECT max((total + block - 1) // block) FROM g))) AS j)),
 slots AS (SELECT p.slot, least((SELECT max(rank) FROM g), 1 + (SELECT count(*) FROM g WHERE g.high <= p.y - floor(p.y))) AS rank FROM points p),
 turns AS (SELECT rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn FROM slots),

@@ -81,7 +81,7 @@ class Model:
         out = np.zeros((len(column), len(self.thetas)))
         for a, b, doc, key, n, _ in self.counts(column):
             x = np.bincount(doc, self.weights[key] * np.log1p(n), minlength=b - a)
-            out[a:b] = 1 / (1 + np.exp(np.clip(self.thetas - x[:, None], -500, 500)))
+            out[a:b] = np.where(np.isinf(self.thetas), 0, 1 / (1 + np.exp(np.clip(self.thetas - x[:, None], -500, 500))))
         return out
 
 

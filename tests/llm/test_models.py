@@ -57,7 +57,9 @@ def test_chain_matches_brute_force():
     assert chain.segments(np.array([5, 0, 4]), 2).tolist() == [2, 2, 1, 2, 2]
 
 
-def test_toxicity_held_out(docs, labels):
+def test_toxicity_held_out(spark):
+    larger = FOLDER.replace("0.01", "0.1")  # of ten toxic words or stems each must be seen
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels.where(sample.remainder("doc_id", 3) != 0))
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert len(got) == docs.count()

@@ -93,7 +93,7 @@ def test_mixing_matches_sql(spark):
     rows = data.texts()
     docs = data.documents(spark, rows)
     con = duckdb.connect()
-    con.register("documents", docs.toPandas())
+    con.register("documents", docs.toArrow())
     got = mixing.mix(docs)
     assert canonical(got.toPandas()) == canonical(con.execute(mixing.SQL).df())
     by = defaultdict(list)
