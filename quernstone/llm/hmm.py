@@ -39,7 +39,7 @@ SAMPLE = 1000
 SAMPLE_ROUNDS = 12
 ROUNDS = 2
 SEGMENT = 256
-SLICE = 4 << 20
+SLICE = 2 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 

@@ -36,7 +36,8 @@ OUT = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTENT = frozenset(("article", "main"))
-NAMED_OUT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|sidebar|side|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|toolbar|share|social|related|recommended|comments?|disqus|replies|respond|widget\w*|login|signup|skip\w*|pagination|pager)(?:$|[\s_-])", re.I)
+NAMED_OUT = re.compile(r"(?:^|(?<=[\s_-]))(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|sidebar|side|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|toolbar|share|social|related|recommended|comments?|disqus|replies|respond|widget\w*|login|signup|skip\w*|pagination|pager)(?=$|[\s_-])", re.I)
+OWN_PARTS = frozenset(("header", "masthead", "banner"))  # an article may have these of its own
 ROLE_OUT = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -54,8 +55,10 @@ def is_boilerplate(name: str, attributes: str, depth_content: int) -> bool:
         key = key.lower()
         if key == "role" and value.lower() in ROLE_OUT or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id") and NAMED_OUT.search(value):
-            return True
+        if key in ("class", "id"):
+            named = {m[1].lower() for m in NAMED_OUT.finditer(value)}
+            if named - (OWN_PARTS if depth_content else set()):
+                return True
     return bool(re.search(r"(?:^|\s)hidden(?=\s|=|$)", attributes, re.I))
 
 
