@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .session import partitions
+from .session import bounded_batches, partitions
 
 RANK = 224
 BLOCK_BYTES = 1 << 20
@@ -43,7 +43,8 @@ COSINE = 0.5
 NEARLY_ALL, MOST, ANSWER = 0.8, 0.6, 0.6
 SHORT = 8
 ITEM_WEIGHT = 4.0
-SLICE = 1 << 20
+SLICE = 1 << 19
+ROWS = 512  # windows or passages with latent vectors at once
 SCHEMA = "doc_id long, item_id long, cosine double, lcs long, item_words long, share double, answer_share double"
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
@@ -132,10 +133,13 @@ class Windows:
 
 
 def _sketch(w: Windows, omega: np.ndarray, total: np.ndarray) -> None:
-    """Adds A'(A omega) of the passages of a slice to total."""
+    """Adds A'(A omega) of the passages of a slice to total, a block of passages at a time."""
     _, begin, end = w.cut(PASSAGE, PASSAGE, SPARSE)
-    if not len(begin):
-        return
+    for i in range(0, len(begin), ROWS):
+        _sketch_rows(w, omega, total, begin[i : i + ROWS], end[i : i + ROWS])
+
+
+def _sketch_rows(w: Windows, omega: np.ndarray, total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
     row, key, weight = w.entries(begin, end)
     weight = (weight / np.sqrt(w.square[end] - w.square[begin])[row]).astype(np.float32)
     y = np.add.reduceat(omega[key] * weight[:, None], np.flatnonzero(np.r_[True, np.diff(row) > 0]), axis=0)
@@ -152,7 +156,7 @@ def _partial(fn):
 
         total = fn(batches)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["part", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "vec"])
 
     return run
 
@@ -178,8 +182,8 @@ class Model:
             size = LEAST_WINDOW
             while True:
                 of, begin, end = w.cut(size, size // 2, COVERAGE)
-                for i in range(0, len(of), 4096):
-                    b, e = begin[i : i + 4096], end[i : i + 4096]
+                for i in range(0, len(of), ROWS):
+                    b, e = begin[i : i + ROWS], end[i : i + ROWS]
                     v = w.latent(self.basis, b, e)
                     v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
                     s = v @ self.vectors.T
@@ -217,6 +221,7 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
     if not size:
         return None
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts, n_parts = docs.select("text"), partitions(spark) * 8
     keys = spark.sparkContext.broadcast(items.keys)
 
@@ -249,7 +254,7 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
                     _sketch(Windows(look, idf, rare, h, doc), omega, total)
         return total if total.any() else None
 
-    total = packed.summed(texts.mapInArrow(_partial(sketch), "part long, vec binary"), n_parts, fan_in=8)
+    total = packed.summed(texts.mapInArrow(_partial(sketch), "part long, vec binary"), n_parts, fan_in=8, kind=np.float32)
     own = np.zeros((len(items.texts), size), np.float32)
     for i, t in enumerate(items.texts):
         np.add.at(own[i], np.searchsorted(items.keys, t), idf[np.searchsorted(items.keys, t)])

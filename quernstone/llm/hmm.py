@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import chain, packed, sample
 from . import kernels as K
-from .session import cut, partitions
+from .session import bounded_batches, cut, partitions
 
 STATES = 6
 CLASSES = 4096  # the last is the end
@@ -152,6 +152,7 @@ def count_answer(keys: np.ndarray, counts: np.ndarray, row: np.ndarray):
 def lm_scores(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions(spark)
     model = train(docs, ~held_out, rounds)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)).alias("batch"))

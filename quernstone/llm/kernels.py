@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20  # bytes of text worked on at once (or one longer text)
+SLICE = 1 << 20  # bytes of text worked on at once (or one longer text)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -25,7 +25,7 @@ _tables: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     t = _tables.get(base)
     if t is None or len(t) < n:
-        t = np.full(max(n, SLICE + 1), base, np.uint64)
+        t = np.full(max(n, 1 << 18, 0 if t is None else len(t) * 3 // 2), base, np.uint64)
         t[0] = 1
         _tables[base] = t = np.cumprod(t, dtype=np.uint64)
     return t

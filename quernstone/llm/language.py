@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import chain, sample
 from . import kernels as K
+from .session import bounded_batches
 
 MAX_TRAIN = 1500
 BUCKETS = 1 << 17
@@ -35,7 +36,7 @@ AFFIXES = (1, 2, 3, 4)
 EPOCHS = 4
 BATCH_WORDS = 40_000
 SEGMENT = 256
-SLICE = 6 << 20
+SLICE = 4 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -175,6 +176,7 @@ def train(column: pa.Array, langs: np.ndarray, epochs: int = EPOCHS) -> Model:
 
 def fit(docs: DataFrame, use, most: int = MAX_TRAIN) -> Model:
     """Learn from at most `most` of the rows that the column `use` marks, with text and lang."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     got = sample.texts_of(docs.where("text is not null"), sample.bounded_ids(rows.select("doc_id", "lang"), most))
     return train(got["text"], np.array(got["lang"].to_pylist(), object))

@@ -16,22 +16,22 @@ from pyspark.sql import functions as F
 FAN_IN = 64
 
 
-def summed(parts: DataFrame, most: int, fan_in: int = FAN_IN) -> np.ndarray | None:
-    """Sum of the float64 vectors in column vec of (part, vec), fan_in at a time.
+def summed(parts: DataFrame, most: int, fan_in: int = FAN_IN, kind: type = np.float64) -> np.ndarray | None:
+    """Sum of the vectors of floats in column vec of (part, vec), fan_in at a time.
 
-    The vectors have the same bounded length; the driver gets fan_in at most.
+    The vectors have the same bounded length; the driver gets one.
     """
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("vec"))
+        total = sum(np.frombuffer(x.as_buffer(), kind) for x in table.column("vec"))
         return pa.table({"part": table.column("part")[:1], "vec": pa.array([total.tobytes()], pa.binary())})
 
     n = most
-    while n > fan_in:
+    while n > 1:
         n = -(-n // fan_in)
         parts = parts.select(F.pmod("part", F.lit(n)).alias("part"), "vec").groupBy("part").applyInArrow(add, "part long, vec binary")
     rows = parts.toArrow().column("vec")
-    return sum(np.frombuffer(x.as_buffer(), np.float64) for x in rows) if len(rows) else None
+    return sum(np.frombuffer(x.as_buffer(), kind) for x in rows) if len(rows) else None
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

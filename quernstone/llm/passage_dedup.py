@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed, suffixes
-from .session import partitions
+from .session import bounded_batches, partitions
 
 LENGTH = 200
 GRAM = 32
@@ -343,6 +343,7 @@ def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed, in bytes) and kept (the other bytes) of every document."""
+    bounded_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("batch", F.pmod(F.col("key"), F.lit(n)))

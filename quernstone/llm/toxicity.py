@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import sample
+from .session import bounded_batches
 
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8000
+TRAIN_SLICE = 1 << 18  # smaller than for scoring: the driver has less memory than executors
 MAX_FEATURES = 4096
 LEAST_DOCS = 4
 LEAST_RATIO = 6.0
@@ -62,10 +64,10 @@ class Model:
     thetas: np.ndarray
     cut: float = 0.5  # a text is toxic if P(grade > 0) is above
 
-    def counts(self, column: pa.Array):
+    def counts(self, column: pa.Array, limit: int = K.SLICE):
         """Sparse counts (text, feature, count) and marked words for each text, slice by slice."""
         look = K.Lookup(self.keys)
-        for a, b, buf, off in K.slices(column):
+        for a, b, buf, off in K.slices(column, limit):
             texts, which, marked = [], [], []
             for doc, word, h in word_features(buf, off):
                 at, key = look.hits(h)
@@ -93,7 +95,7 @@ def select(column: pa.Array, toxic: np.ndarray) -> np.ndarray:
 
     def per_text(rows: np.ndarray) -> np.ndarray:
         found = []
-        for _, _, buf, off in K.slices(column.take(pa.array(rows))):
+        for _, _, buf, off in K.slices(column.take(pa.array(rows)), TRAIN_SLICE):
             for doc, _, h in word_features(buf, off):
                 order = np.lexsort((h, doc))
                 d, h = doc[order], h[order]
@@ -108,7 +110,7 @@ def select(column: pa.Array, toxic: np.ndarray) -> np.ndarray:
     if not len(keys):
         return keys
     c0, look = np.zeros(len(keys)), K.Lookup(keys)
-    for some in np.array_split(good, max(1, len(good) // 500)):
+    for some in np.array_split(good, max(1, len(good) // 200)):
         c0 += np.bincount(look.hits(per_text(some))[1], minlength=len(keys))
     p1, p0 = (c1 + 0.5) / (len(bad) + 1), (c0 + 0.5) / (len(good) + 1)
     strength = np.where(p1 > LEAST_RATIO * p0, (p1 - p0) * np.log(p1 / p0), 0)
@@ -157,7 +159,7 @@ def train(column: pa.Array, toxic: np.ndarray) -> Model:
         return NOTHING
     model = Model(keys, np.zeros(len(keys)), np.zeros(GRADES - 1))
     doc, key, count, words = [], [], [], np.zeros(len(column), int)
-    for a, b, d, k, n, w in model.counts(column):
+    for a, b, d, k, n, w in model.counts(column, TRAIN_SLICE):
         doc.append(d + a)
         key.append(k)
         count.append(n)
@@ -183,6 +185,7 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """Learn from at most `most` rows of labels with a non-null toxic (1 is toxic)."""
+    bounded_batches(docs.sparkSession)
     chosen = sample.bounded_ids(labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic"), most)
     got = sample.texts_of(docs, chosen)
     return train(got["text"], got["toxic"].to_numpy() == 1)
