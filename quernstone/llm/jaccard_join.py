@@ -41,7 +41,7 @@ from . import packed
 from . import signature_tree as tree
 from .components import components
 from .grouped import by_group
-from .session import cut, partitions
+from .session import bounded_batches, cut, partitions
 
 WORDS = 5
 LOW = 0.27
@@ -49,7 +49,7 @@ LOW_END = np.uint64(int(LOW * 2**64))
 KEYS = 3
 BLOCK = 512
 TREE_BLOCK = 4096
-SLICE = 2 << 20
+SLICE = 1 << 20
 SET = "doc_id long, n long, h1 long, h2 long, prefix binary, tokens binary"
 
 
@@ -243,6 +243,13 @@ def _spread(count, size: int):
     return F.greatest(F.lit(1), F.ceil(count / size)).cast("long")
 
 
+def _one_of_each(rows: DataFrame, key: str, member: str, count: str) -> DataFrame:
+    """Keys with two members or more and their number; of keys with the same members one will do."""
+    h = F.xxhash64(member, F.lit("one")), F.xxhash64(member, F.lit("two"))
+    groups = rows.groupBy(key).agg(F.count("*").alias(count), F.bit_xor(h[0]).alias("s1"), F.bit_xor(h[1]).alias("s2")).where(F.col(count) > 1)
+    return groups.groupBy("s1", "s2", count).agg(F.min(key).alias(key)).select(key, count)
+
+
 def _part(column: str, parts):
     return F.pmod(F.xxhash64(column, F.lit("part")), parts)
 
@@ -250,6 +257,7 @@ def _part(column: str, parts):
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)))
@@ -265,7 +273,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # blocks by equal minima
     keys = reps.mapInArrow(_min_keys, "rep long, key long").distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = _one_of_each(keys, "key", "rep", "members")
     placed = keys.join(shared, "key").select("rep", "key", _part("rep", _spread(F.col("members"), BLOCK)).alias("part"))
     links = by_group(placed.join(reps.select("rep", "tokens"), "rep"), ["key", "part"], _block_links, ["a", "b"])
     nodes = reps.select(F.col("rep").alias("node"))
@@ -274,10 +282,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # links that are left, between components with a common shingle of the prefix
     token = F.explode(F.expr("transform(sequence(1, int(octet_length(prefix) / 8)), i -> xxhash64(substring(prefix, 8 * i - 7, 8)))"))
     by_token = reps.select("rep", token.alias("token")).join(near, "rep").select("token", "comp").distinct()
-    # of the shingles with the same components one will do
-    h = F.xxhash64("comp", F.lit("one")), F.xxhash64("comp", F.lit("two"))
-    shared = by_token.groupBy("token").agg(F.count("*").alias("comps"), F.bit_xor(h[0]).alias("s1"), F.bit_xor(h[1]).alias("s2")).where("comps > 1")
-    shared = shared.groupBy("s1", "s2", "comps").agg(F.min("token").alias("token")).select("token", "comps")
+    shared = _one_of_each(by_token, "token", "comp", "comps")
     meets = cut(by_token.join(shared, "token"))
     wanted = meets.select("comp").distinct()
     words = range(tree.WORDS)
