@@ -7,7 +7,10 @@ the documents and of the benchmark gives a latent space: each partition adds up
 of the total and a small exact SVD of the projected benchmark follow on the
 driver.  Only words of the benchmark have coordinates; the others count in the
 length of a passage.  Windows of 16, 32, ... words over every whole document
-are compared with all items by cosine in blocks.  Candidates must then hold the
+(of 8 too for items of fewer than ``FINE``) are compared with all items by
+cosine in blocks, whatever else they hold.  Left out are only the windows around
+which no item can pass the check below, as too few of its rarest words are there
+(``Rarest``; exact at any size of the corpus).  Candidates must then hold the
 item's words in order (longest common subsequence), almost all of them or, as a
 paraphrase, most of them and of the item's end (the answer).
 
@@ -36,15 +39,17 @@ from .session import bounded_batches, partitions
 RANK = 224
 BLOCK_BYTES = 1 << 20
 PASSAGE = 32
-LEAST_WINDOW, MOST_WINDOW = 16, 512
-COVERAGE = 0.3  # of a window's squared weights that must be words of the benchmark
+LEAST_WINDOW, MOST_WINDOW = 8, 512
+RAREST = 0.2  # of an item's words must be among its rarest words, see Rarest
+FINE = 32  # items of fewer words are compared with the least windows
 SPARSE = 0.1  # passages of less coverage are nothing to the decomposition
 COSINE = 0.5
 NEARLY_ALL, MOST, ANSWER = 0.8, 0.6, 0.6
 SHORT = 8
 ITEM_WEIGHT = 4.0
 SLICE = 1 << 19
-ROWS = 512  # windows or passages with latent vectors at once
+ROWS = 512  # passages with latent vectors at once
+GROUP = 1 << 14  # words of which the windows get latent vectors at once
 SCHEMA = "doc_id long, item_id long, cosine double, lcs long, item_words long, share double, answer_share double"
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
@@ -119,17 +124,108 @@ class Windows:
         return doc[ok], begin[ok], end[ok]
 
     def entries(self, begin: np.ndarray, end: np.ndarray):
-        """(row, key, weight) of the words of the benchmark in some windows, rows in order."""
+        """(row, key, place) of the words of the benchmark in some windows, rows in order."""
         lo, hi = np.searchsorted(self.at, begin), np.searchsorted(self.at, end)
         n = hi - lo
         row = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(row)) + np.repeat(lo - (np.cumsum(n) - n), n)
-        return row, self.key[at], self.weight[self.at[at]]
+        return row, self.key[at], self.at[at]
 
-    def latent(self, basis: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        row, key, w = self.entries(begin, end)
-        x = basis[key] * w[:, None].astype(np.float32)
-        return np.add.reduceat(x, np.flatnonzero(np.r_[True, np.diff(row) > 0]), axis=0) if len(row) else np.zeros((0, basis.shape[1]), np.float32)
+    def groups(self, most: int, live: np.ndarray):
+        """(text, begin, end) of the texts with windows at live words by about GROUP words; of longer ones, pieces that share most words."""
+        n = np.diff(self.first)
+        step = max(GROUP, 2 * most)
+        each = np.where(n > 0, np.maximum(1, -(-(n - most) // step)), 0)
+        doc = np.repeat(np.arange(len(n)), each)
+        begin = self.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)) * step
+        end = np.minimum(begin + step + most, self.first[doc + 1])
+        live = np.concatenate([[0], np.cumsum(live)])
+        ok = live[end] > live[begin]
+        doc, begin, end = doc[ok], begin[ok], end[ok]
+        group = (np.cumsum(end - begin) - 1) // step
+        for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(group)) + 1):
+            if len(part):
+                yield doc[part], begin[part], end[part]
+
+    def latent(self, scaled: np.ndarray, begin: np.ndarray, end: np.ndarray, live: dict[int, np.ndarray]):
+        """(size, text number, begin, latent vector) of the live windows of each size over some texts.
+
+        Windows overlap by half, so each is the sum of two cells, and two cells are one of the next size.
+        """
+        cell = LEAST_WINDOW // 2
+        n = -(-(end - begin) // cell)
+        row, key, at = self.entries(begin, end)
+        most = max(live)
+        sums = np.concatenate([[0], np.cumsum(live[most])])
+        used = sums[at + 1] > sums[np.maximum(at + 1 - most, 0)]  # words in live windows
+        row, key, at = row[used], key[used], at[used]
+        place = (np.cumsum(n) - n)[row] + (at - begin[row]) // cell
+        cells = np.zeros((int(n.sum()), scaled.shape[1]), np.float32)
+        if len(place):
+            cut = np.flatnonzero(np.r_[True, np.diff(place) > 0])
+            cells[place[cut]] = np.add.reduceat(scaled[key], cut, axis=0)
+        while True:
+            first, text = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(text)) - first[text]
+            more = k + 1 < n[text]
+            at = begin[text] + k * cell
+            one = np.flatnonzero((more | (k == 0)) & live[2 * cell][at])
+            v = cells[one]
+            v[more[one]] += cells[one[more[one]] + 1]
+            yield 2 * cell, text[one], at[one], v
+            if 2 * cell >= most:
+                break
+            even = np.flatnonzero(k % 2 == 0)
+            pair = cells[even]
+            pair[more[even]] += cells[even[more[even]] + 1]
+            cells, n, cell = pair, -(-n // 2), 2 * cell
+
+
+class Rarest:
+    """Where so many of an item's rarest words stand that it may be found there.
+
+    A leak has at least MOST of the n words of an item in order.  Of the ``n - MOST n + m``
+    rarest ones at least m are then there, whatever the others are.
+    """
+
+    def __init__(self, items: Items, idf: np.ndarray):
+        self.length = np.array([len(t) for t in items.texts])
+        self.least = np.ceil(RAREST * self.length - 1e-9).astype(np.int64)  # m of each item
+        count = self.length - np.ceil(MOST * self.length - 1e-9).astype(np.int64) + self.least
+        key, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, t in enumerate(items.texts):
+            k = np.searchsorted(items.keys, t)
+            k = np.unique(k[np.argsort(-idf[k], kind="stable")][: count[i]])
+            key.append(k)
+            item.append(np.full(len(k), i))
+        key, item = np.concatenate(key), np.concatenate(item)
+        order = np.argsort(key, kind="stable")
+        self.item = item[order]
+        self.head = np.searchsorted(key[order], np.arange(len(items.keys) + 1))
+
+    def places(self, w: Windows) -> np.ndarray:
+        """Item and word number of every such word of a slice as one number, in order."""
+        head = self.head[w.key]
+        n = self.head[w.key + 1] - head
+        item = self.item[np.arange(int(n.sum())) + np.repeat(head - (np.cumsum(n) - n), n)]
+        return np.sort(item * len(w.weight) + np.repeat(w.at, n))
+
+    def runs(self, w: Windows, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, first and last word number of runs of m such words in a text."""
+        item, at = np.divmod(places, max(1, len(w.weight)))
+        last = np.arange(len(item)) + self.least[item] - 1
+        ok = last < len(item)
+        item, at, last = item[ok], at[ok], last[ok]
+        end = places[last] - item * len(w.weight)
+        ok = end < w.first[np.searchsorted(w.first, at, "right")]  # also of the same item: others are a slice away
+        return item[ok], at[ok], end[ok]
+
+    def live(self, runs: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, n: int) -> np.ndarray:
+        """Whether a window of a size that begins at a word has such a run around it."""
+        item, at, end = runs
+        low, high = np.maximum(end - self.length[item] - size + 1, 0), np.minimum(at + self.length[item], n - 1) + 1
+        ok = low < high
+        return np.cumsum(np.bincount(low[ok], minlength=n + 1) - np.bincount(high[ok], minlength=n + 1))[:n] > 0
 
 
 def _sketch(w: Windows, omega: np.ndarray, total: np.ndarray) -> None:
@@ -140,8 +236,8 @@ def _sketch(w: Windows, omega: np.ndarray, total: np.ndarray) -> None:
 
 
 def _sketch_rows(w: Windows, omega: np.ndarray, total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-    row, key, weight = w.entries(begin, end)
-    weight = (weight / np.sqrt(w.square[end] - w.square[begin])[row]).astype(np.float32)
+    row, key, at = w.entries(begin, end)
+    weight = (w.weight[at] / np.sqrt(w.square[end] - w.square[begin])[row]).astype(np.float32)
     y = np.add.reduceat(omega[key] * weight[:, None], np.flatnonzero(np.r_[True, np.diff(row) > 0]), axis=0)
     order = np.argsort(key, kind="stable")
     cut = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
@@ -171,44 +267,81 @@ class Model:
 
     def leaks(self, column: pa.Array):
         """(row, item, cosine, lcs, share, answer share) of the items found."""
-        look = K.Lookup(self.items.keys)
-        longest = max(map(len, self.items.texts))
+        look, mark = K.Lookup(self.items.keys), np.zeros(len(self.items.keys), np.int64)
+        length = np.array([len(t) for t in self.items.texts])
+        longest = min(max(int(length.max()), LEAST_WINDOW), MOST_WINDOW)
+        most = LEAST_WINDOW
+        while most < longest:
+            most *= 2
+        rarest = Rarest(self.items, self.idf)
+        scaled = self.basis * self.idf[:, None].astype(np.float32)
+        some = np.flatnonzero((length > 0) & (length < FINE))
+        every = np.flatnonzero(length > 0)
         for a, _, buf, off in K.slices(column, SLICE):
             h, doc = words(buf, off)
             if not len(h):
                 continue
             w = Windows(look, self.idf, self.rare, h, doc)
-            near: dict[tuple[int, int], list] = {}
+            places = rarest.places(w)
+            runs = rarest.runs(w, places)
+            live: dict[int, np.ndarray] = {}
             size = LEAST_WINDOW
-            while True:
-                of, begin, end = w.cut(size, size // 2, COVERAGE)
-                for i in range(0, len(of), ROWS):
-                    b, e = begin[i : i + ROWS], end[i : i + ROWS]
-                    v = w.latent(self.basis, b, e)
-                    v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
-                    s = v @ self.vectors.T
-                    for r, t in np.argwhere(s >= COSINE):
-                        near.setdefault((int(of[i + r]), int(t)), []).append((float(s[r, t]), int(b[r]), int(e[r])))
-                if size >= min(longest, MOST_WINDOW):
-                    break
+            while size <= most:
+                live[size] = rarest.live(runs, size, len(h))
                 size *= 2
+            near: dict[tuple[int, int], list] = {}
+            for of, lo, hi in w.groups(most, live[most]):
+                for size, text, b, v in w.latent(scaled, lo, hi, live):
+                    items = some if size == LEAST_WINDOW else every
+                    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+                    some_word = np.flatnonzero(norm > 1e-9)
+                    if not len(items) or not len(some_word):
+                        continue
+                    text, b, norm = text[some_word], b[some_word], norm[some_word]
+                    s = v[some_word] @ self.vectors[items].T
+                    r, t = np.nonzero(s >= (COSINE * norm)[:, None])
+                    cosine, t = s[r, t] / norm[r], items[t]
+                    of_, b, e = of[text[r]], b[r], np.minimum(b[r] + size, hi[text[r]])
+                    low, high = np.maximum(b - length[t], w.first[of_]), np.minimum(e + length[t], w.first[of_ + 1])
+                    ok = np.searchsorted(places, t * len(h) + high) - np.searchsorted(places, t * len(h) + low) >= rarest.least[t]
+                    for c, d, i, x, y in zip(cosine[ok].tolist(), of_[ok].tolist(), t[ok].tolist(), b[ok].tolist(), e[ok].tolist(), strict=True):
+                        near.setdefault((d, i), []).append((c, x, y))
             for (d, t), found in near.items():
-                best = self.check(h, int(w.first[d]), int(w.first[d + 1]), t, found)
+                best = self.check(w, d, t, found, mark)
                 if best:
                     yield (a + d, t, max(f[0] for f in found), *best)
 
-    def check(self, h: np.ndarray, lo: int, hi: int, t: int, found: list) -> tuple[int, float, float] | None:
-        """Longest common subsequence and answer of an item around its candidate windows."""
-        item = self.items.texts[t].tolist()
-        n = len(item)
+    def check(self, w: Windows, d: int, t: int, found: list, mark: np.ndarray) -> tuple[int, float, float] | None:
+        """Longest common subsequence and answer of an item around its candidate windows.
+
+        Only the words that are the item's can count, and no more of them than it has of each.
+        """
+        item = np.searchsorted(self.items.keys, self.items.texts[t])
+        own, number = np.unique(item, return_counts=True)
+        n, lo, hi = len(item), int(w.first[d]), int(w.first[d + 1])
+        mark[own] = np.arange(1, len(own) + 1)
+        i, j = np.searchsorted(w.at, (lo, hi))
+        word = mark[w.key[i:j]]
+        mark[own] = 0
+        at, word = w.at[i:j][word > 0], word[word > 0] - 1
+        item = np.searchsorted(own, item).tolist()
         answer = item[-max(3, n // 5) :]
-        best = None
+        best, done = None, set()
         for _, b, e in sorted(found, reverse=True):
-            near = h[max(lo, b - n) : min(hi, e + n)].tolist()
+            i, j = (int(x) for x in np.searchsorted(at, (max(lo, b - n), min(hi, e + n))))
+            least = max(MOST * n - 1e-9, best[0] + 1 if best else 0)
+            if (i, j) in done or j - i < least:
+                continue
+            done.add((i, j))
+            if np.minimum(np.bincount(word[i:j], minlength=len(own)), number).sum() < least:
+                continue
+            near = word[i:j].tolist()
             got = lcs(item, near)
+            if got < least:
+                continue
             share, end = got / n, lcs(answer, near) / len(answer)
             leak = share >= NEARLY_ALL or share >= MOST and end >= ANSWER
-            if (got == n if n < SHORT else leak) and (best is None or got > best[0]):
+            if got == n if n < SHORT else leak:
                 best = (got, share, end)
                 if got == n:
                     break

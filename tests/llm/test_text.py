@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from compare import canonical
@@ -73,6 +75,38 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(i, i) for i, _ in items}
 
 
+def planted(texts, docs, rows, scale=1):
+    """What a model of given items finds, with document frequencies of docs times scale."""
+    items = decontamination.Items.of(list(range(len(texts))), pa.array(texts))
+    keys = items.keys.tolist()
+    df = Counter(k for t in docs for k in set(decontamination.Items.of([0], pa.array([t])).texts[0].tolist()))
+    count = len(docs) * scale + len(texts)
+    idf = np.log((count + 1) / (np.array([df[k] for k in keys]) * scale + 1)) + 0.1
+    own = np.zeros((len(texts), len(keys)))
+    for i, t in enumerate(items.texts):
+        np.add.at(own[i], np.searchsorted(items.keys, t), idf[np.searchsorted(items.keys, t)])
+    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+    model = decontamination.Model(items, idf, float(np.log(count + 1) + 0.1), np.eye(len(keys), dtype=np.float32), own.astype(np.float32))
+    return {(r[0], r[1]) for r in model.leaks(pa.array(rows))}
+
+
+def test_decontamination_finds_edited_items_in_any_corpus():
+    rng = random.Random(4)
+    docs = [data.words(i, 200, 1500) for i in range(60)]
+    texts = [data.words(7000 + i, 25 + i, 1500) for i in range(20)]
+    rows, want = [], set()
+    for share in (0.2, 0.3, 0.35):
+        for t, text in enumerate(texts):
+            w = text.split()
+            ask = len(w) - max(3, len(w) // 5)
+            for k in rng.sample(range(ask), round(share * len(w))):
+                w[k] = f"unseen{rng.randrange(10**6)}"
+            want.add((len(rows), t))
+            rows.append(docs[t] + " " + " ".join(w) + " " + docs[t + 20])
+    for scale in (1, 100_000):  # 6M documents
+        assert planted(texts, docs, rows, scale) == want
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
