@@ -4,13 +4,18 @@ Sources, in code-point order with null last, weigh 1, 2, 3, 1, 2, 3, ... and
 share the words of the corpus by weight; a target stops at ``REPEATS`` times
 its source's size and the excess is shared again by weight.
 
-The mix is a sequence of equal slots of ``block`` words.  Slot ``j`` has the
-point ``frac((j + 1/2) * golden ratio)``, which the cumulative targets map to a
-source; the slots of a source are ranked, and the slot of rank ``r`` takes the
-block ``r mod blocks`` of that source, whose documents were laid end to end in
-a shuffled order (by the MD5 of doc_id).  A block is taken up to ``REPEATS``
-times.  Ranks and running sizes are found in two levels (sums of chunks, then
-inside a chunk), so no source needs one task.
+The mix is a sequence of equal slots of ``BLOCK`` words, as many as the corpus
+fills.  Slot ``j`` has the point ``frac((j + 1/2) * golden ratio)``, which the
+cumulative targets map to a source; the slot of rank ``r`` in its source takes
+the block ``r mod blocks`` of that source, whose documents were laid end to end
+in a shuffled order (by the MD5 of doc_id).  A block is taken up to ``REPEATS``
+times.  The ranks of a source's n slots are 0 to n - 1, so its first ``n mod
+blocks`` blocks are taken ``n div blocks + 1`` times and the others once less:
+slots are counted, not kept.  Running sizes are found in two levels (sums of
+buckets, then inside a bucket), so no source needs one task.
+
+Each source gets its target within a few blocks.  ``SQL`` makes blocks longer
+above 2^24 words; up to there results are the same.
 
 Defined cases: a null text has size 0; null sources form one source; documents
 of size 0 take 0; repeated rows are documents of their own; a table without
@@ -19,14 +24,15 @@ words gives targets of 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 REPEATS = 3
-SLOTS = 1 << 20  # at most so many slots (and so blocks) are planned
-LEAST_BLOCK = 16
+BLOCK = 16
 GOLDEN = 0.6180339887498949
-CHUNK = 4096
+TURN = 1 << 20  # slots whose points are found from one start, so that they stay exact
+CHUNK = 1 << 16
+CELLS = 4096  # equal parts of [0, 1) that each know the bounds in them
 UNITS = 10_000  # of a word: cumulative targets are sums of whole numbers, the same in any order
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,23 +62,22 @@ def targets(sizes: DataFrame) -> DataFrame:
     unit = F.min(F.when(fits, F.struct("weight_before", ((F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))).alias("unit")))).over(every)["unit"]
     w = w.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(unit, F.lit(0.0)) * F.col("weight")))
     ordered = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    w = w.withColumns({"high": F.sum(F.floor(F.col("target") * UNITS + 0.5)).over(ordered) / UNITS / F.greatest(F.col("total"), F.lit(1)), "block": F.greatest(F.lit(LEAST_BLOCK).cast("long"), F.expr(f"(total + {SLOTS - 1}) div {SLOTS}"))})
+    w = w.withColumns({"high": F.sum(F.floor(F.col("target") * UNITS + 0.5)).over(ordered) / UNITS / F.greatest(F.col("total"), F.lit(1)), "block": F.lit(BLOCK).cast("long")})
     return w.select("source", "rank", "source_size", "target", "high", "block", F.expr("(total + block - 1) div block").alias("slots"))
 
 
-def schedule(spark: SparkSession, goals: DataFrame) -> DataFrame:
-    """slot, rank (of the source), turn: the planned slots, ranked in each source."""
-    bounds = goals.agg(F.sort_array(F.collect_list(F.struct("high", "rank"))).alias("b"), F.max("slots").alias("m"))
+def schedule(goals: DataFrame) -> DataFrame:
+    """rank (of the source), turns: how many of the planned slots fall to each source."""
+    bounds = goals.agg(F.sort_array(F.collect_list("high")).alias("b"), F.max("slots").alias("m"))
+    slots = bounds.select(F.explode(F.when(F.col("m") > 0, F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {CHUNK}")))).alias("chunk"), "m")
+    slots = slots.repartition("chunk").select(F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, m) - 1)")).alias("slot"))
+    x = (F.col("slot") % TURN + 0.5) * GOLDEN + F.expr(f"slot div {TURN}") * (TURN * GOLDEN % 1)
+    slots = slots.select((x - F.floor(x)).alias("x")).withColumn("cell", F.floor(F.col("x") * CELLS))
+    cells = bounds.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long"))).alias("cell"))
+    cells = cells.select("cell", F.size("b").alias("last"), F.expr(f"size(filter(b, h -> floor(h * {CELLS}) < cell))").alias("before"), F.expr(f"filter(b, h -> floor(h * {CELLS}) = cell)").alias("here"))
     # the last bound is open: sums of targets may end a rounding below 1
-    slots = bounds.select("b", F.explode(F.when(F.col("m") > 0, F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {CHUNK}")))).alias("chunk"), "m")
-    slots = slots.repartition("chunk").select("chunk", "b", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, m) - 1)")).alias("slot"))
-    x = (F.col("slot") + 0.5) * GOLDEN
-    slots = slots.withColumn("x", x - F.floor(x)).select("chunk", "slot", F.expr("b[least(size(filter(b, s -> s.high <= x)), size(b) - 1)].rank").alias("rank"))
-    here = Window.partitionBy("chunk", "rank").orderBy("slot")
-    inside = slots.withColumn("k", F.row_number().over(here) - 1)
-    sums = slots.groupBy("rank", "chunk").agg(F.count("*").alias("n"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(sums, ["chunk", "rank"]).select("slot", "rank", (F.col("base") + F.col("k")).alias("turn"))
+    rank = F.expr("cast(least(1 + before + if(size(here) = 0, 0, size(filter(here, h -> h <= x))), last) as int)")
+    return slots.join(F.broadcast(cells), "cell").select(rank.alias("rank")).groupBy("rank").agg(F.count("*").alias("turns"))
 
 
 def laid_out(sizes: DataFrame) -> DataFrame:
@@ -90,22 +95,14 @@ def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     from .session import cut
 
-    spark = docs.sparkSession
     sizes = cut(sized(docs))
     goals = cut(targets(sizes))
-    plan = schedule(spark, goals)
-    blocks = goals.select("rank", F.expr("(source_size + block - 1) div block").alias("blocks")).where("blocks > 0")
-    taken = (
-        plan.join(F.broadcast(blocks), "rank").where(f"turn < blocks * {REPEATS}")
-        .groupBy("rank", (F.col("turn") % F.col("blocks")).alias("at")).agg(F.count("*").alias("times"))
-    )
-    g = goals.select(F.col("source").alias("s"), "rank", "source_size", "target", "block")
-    placed = laid_out(sizes).join(F.broadcast(g), F.col("source").eqNullSafe(F.col("s"))).withColumn("row", F.monotonically_increasing_id())
-    placed = cut(placed.select("row", "doc_id", "size", "source_size", "target", "rank", "block", "start"))
-    pieces = placed.where("size > 0").select("row", "rank", "block", "start", "size", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")).alias("at"))
-    words = F.expr("least(start + size, (at + 1) * block) - greatest(start, at * block)")
-    got = pieces.join(taken, ["rank", "at"]).groupBy("row").agg(F.sum(words * F.col("times")).alias("taken"))
-    return placed.join(got, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    g = goals.join(F.broadcast(schedule(goals)), "rank", "left").withColumn("blocks", F.expr("(source_size + block - 1) div block"))
+    g = g.withColumn("n", F.least(F.coalesce("turns", F.lit(0).cast("long")), F.col("blocks") * REPEATS))
+    g = g.select(F.col("source").alias("s"), "source_size", "target", F.expr("n div greatest(blocks, 1)").alias("times"), F.expr("n % greatest(blocks, 1) * block").alias("more"))
+    placed = laid_out(sizes).join(F.broadcast(g), F.col("source").eqNullSafe(F.col("s")))
+    taken = F.expr("size * times + greatest(least(start + size, more) - start, cast(0 as bigint))")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 SQL = r"""

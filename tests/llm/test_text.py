@@ -154,6 +154,16 @@ def test_targets_by_hand(spark):
     assert got == {"a": 194, "b": 30, "c": 582, "d": 194}
 
 
+def test_small_sources_of_a_large_corpus_reach_their_targets(spark, monkeypatch):
+    small = {"a": 500, "b": 2000, "c": 5000, "d": 7000, "e": 12_000}
+    rows = [(i, s, n // 10) for s, n in small.items() for i in range(10)] + [(i, "huge", 5_000_000) for i in range(100)]
+    monkeypatch.setattr(mixing, "sized", lambda docs: docs.select("doc_id", "source", "size"))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).groupBy("source_size", "target").sum("taken").collect()
+    assert {r.source_size for r in got} == {*small.values(), 500_000_000}
+    for size, target, taken in got:
+        assert taken <= 3 * size and abs(taken - target) <= 16 * 5
+
+
 def test_pipeline_against_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from quernstone.llm import toxicity
