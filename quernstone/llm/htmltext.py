@@ -6,8 +6,8 @@ notice, sidebar, comments, ...) are taken out with what they hold; block tags
 end a line, other tags vanish.  An element taken out leaves a row of empty
 lines behind.  The lengths of the lines are summed over a window of ``WINDOW``
 lines; where the sum surges from nothing a stretch begins and where it dives to
-nothing the stretch ends.  The stretch (or, if the page marks one, the
-article's stretches) with the most text is kept whole.  Character references
+nothing the stretch ends.  All stretches are kept (if the page marks an article,
+only the article's), as gaps come from elements taken out alone.  Character references
 are decoded, white space in a block becomes one space, blocks are joined by an
 empty line.
 
@@ -128,9 +128,6 @@ def main_text(page: str | None) -> str:
     size = np.array([len(x) for x, _ in found])
     if any(c and x for x, c in found):  # the page marks its content: only there text counts
         size = size * np.array([c for _, c in found])
-        marked = True
-    else:
-        marked = False
     sums = np.convolve(size, np.ones(WINDOW, int))[: len(size)]  # of the lines that end here
     ahead = np.convolve(size, np.ones(WINDOW, int))[WINDOW - 1 :]  # of those that begin here
     on = (sums > 0) | (ahead > 0)
@@ -138,9 +135,6 @@ def main_text(page: str | None) -> str:
     surges, dives = edge[::2], edge[1::2]
     if not len(surges):
         return ""
-    if not marked:
-        best = int(np.argmax([size[a:b].sum() for a, b in zip(surges, dives, strict=True)]))
-        surges, dives = surges[best : best + 1], dives[best : best + 1]
     return "\n\n".join(found[i][0] for a, b in zip(surges, dives, strict=True) for i in range(a, b) if size[i])
 
 

@@ -35,6 +35,12 @@ def test_html(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_unmarked_pages_keep_text_on_both_sides_of_an_advert():
+    for box in ('<div class="ad">Buy</div>', "<aside>Buy</aside>", "<form><input>Buy</form>", '<div class="share">Buy</div>'):
+        page = f"<body><nav>Menu</nav><p>{'a' * 1000}</p><p>{'b' * 1000}</p>{box}<p>{'c' * 900}</p><footer>f</footer></body>"
+        assert htmltext.main_text(page) == "\n\n".join(("a" * 1000, "b" * 1000, "c" * 900))
+
+
 def test_decontamination(spark):
     items = [(i, data.words(9000 + i, 20 + 5 * i, 100_000)) for i in range(12)]
     rng = random.Random(5)
