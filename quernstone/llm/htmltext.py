@@ -2,7 +2,8 @@
 
 Comments, scripts, styles, forms and elements that are boilerplate by name
 (nav, header, footer, aside, ...) or by class, id or role (advert, cookie,
-notice, sidebar, comments, ...) are taken out with what they hold; block tags
+notice, sidebar, comments, ...; not has-sidebar, no-sidebar, nor a box around
+the main content) are taken out with what they hold; block tags
 end a line, other tags vanish.  An element taken out leaves a row of empty
 lines behind.  The lengths of the lines are summed over a window of ``WINDOW``
 lines; where the sum surges from nothing a stretch begins and where it dives to
@@ -36,7 +37,7 @@ OUT = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTENT = frozenset(("article", "main"))
-NAMED_OUT = re.compile(r"(?:^|(?<=[\s_-]))(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|sidebar|side|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|toolbar|share|social|related|recommended|comments?|disqus|replies|respond|widget\w*|login|signup|skip\w*|pagination|pager)(?=$|[\s_-])", re.I)
+NAMED_OUT = re.compile(r"(?:^|(?<=[\s_-]))(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|sidebar|side|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|toolbar|share|social|related|recommended|comments?|disqus|replies|respond|widget\w*|login|signup|skip\w*|pagination|pager)(?=$|[\s_-])", re.I)
 OWN_PARTS = frozenset(("header", "masthead", "banner"))  # an article may have these of its own
 ROLE_OUT = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -62,12 +63,43 @@ def is_boilerplate(name: str, attributes: str, depth_content: int) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?=\s|=|$)", attributes, re.I))
 
 
+def holds(page: str, at: int, name: str, wanted: frozenset) -> bool:
+    """Whether an element whose start tag ends here holds one of the wanted elements."""
+    depth = 1
+    while depth > 0 and (m := TAG.search(page, at)):
+        at = m.end()
+        if not m[2]:
+            continue
+        inner, close = m[2].lower(), bool(m[1])
+        if inner in RAW_END and not close and not m[3].endswith("/"):
+            e = RAW_END[inner].search(page, at)
+            at = e.end() if e else len(page)
+        elif inner == name:
+            depth += -1 if close else 1
+        elif inner in wanted and not close:
+            return True
+    return False
+
+
 def lines(page: str) -> list[tuple[str, bool]]:
-    """(text of a line, whether inside article or main); an element taken out gives GAP empty lines."""
+    """(text of a line, whether inside article or main); an element taken out gives GAP empty lines.
+
+    What is boilerplate by its attributes alone stays if it holds main, or if without what
+    holds an article the page would have none.
+    """
+    found = _lines(page, frozenset(("main",)))
+    if not any(c for _, c in found) and re.search("<article", page, re.I):
+        again = _lines(page, CONTENT)
+        if any(c for _, c in again):
+            return again
+    return found
+
+
+def _lines(page: str, kept: frozenset) -> list[tuple[str, bool]]:
     found: list[tuple[str, bool]] = []
     text: list[str] = []
     content = 0
-    skip, depth = "", 0
+    skip, depth, opened = "", 0, 0
     at, n = 0, len(page)
 
     def end_line() -> None:
@@ -99,6 +131,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
             # an element that is taken out ends with its tag, or where the content around it ends
             if name == skip:
                 depth += -1 if close else (name not in VOID)
+            elif name in CONTENT and (not close or opened):
+                opened += -1 if close else 1  # it holds content of its own
             elif close and (name in CONTENT or name == "body"):
                 depth = 0
             if depth <= 0:
@@ -106,10 +140,10 @@ def lines(page: str) -> list[tuple[str, bool]]:
                 if name in CONTENT and close:
                     content = max(0, content - 1)
             continue
-        if not close and name not in VOID and is_boilerplate(name, m[3], content):
+        if not close and name not in VOID and is_boilerplate(name, m[3], content) and (name in OUT or not holds(page, at, name, kept)):
             end_line()
             found.extend([("", False)] * GAP)
-            skip, depth = name, 1
+            skip, depth, opened = name, 1, 0
             continue
         if name == "br" or name == "wbr":
             text.append(" " if name == "br" else "")

@@ -41,6 +41,18 @@ def test_unmarked_pages_keep_text_on_both_sides_of_an_advert():
         assert htmltext.main_text(page) == "\n\n".join(("a" * 1000, "b" * 1000, "c" * 900))
 
 
+def test_layout_wrappers_keep_their_article():
+    for layout in ("page has-sidebar", "layout no-sidebar", "wrapper sticky-header", "with_nav"):
+        for tag in ("article", "main"):
+            page = f'<body><div class="{layout}"><div class="sidebar">Side</div><{tag}><p>One.</p><div class="ad">Buy</div><p>Two.</p></{tag}></div><div class="footer">f</div></body>'
+            assert htmltext.main_text(page) == "One.\n\nTwo."
+    assert htmltext.main_text('<div class="no-sidebar"><p>One.</p></div>') == "One."
+    related = '<article><p>One.</p></article><div class="related"><article>Other</article><p>more</p></div>'
+    assert htmltext.main_text(related) == "One."
+    inside = '<article><p>One.</p><div class="related"><article>Other</article><p>more</p></div><p>Two.</p></article>'
+    assert htmltext.main_text(inside) == "One.\n\nTwo."
+
+
 def test_decontamination(spark):
     items = [(i, data.words(9000 + i, 20 + 5 * i, 100_000)) for i in range(12)]
     rng = random.Random(5)
