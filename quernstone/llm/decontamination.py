@@ -18,7 +18,8 @@ The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, so what is
 broadcast is bounded; a larger benchmark takes more passes over the documents.
 
 Defined cases: null and empty texts hold nothing; items without words are in
-nothing, and items of fewer than ``SHORT`` words must occur whole; repeated
+nothing, and items of fewer than ``SHORT`` words must occur whole, for which they
+are looked up as they are, with a cosine of 1; repeated
 items and documents each give their own rows; doc_id may be null; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -181,6 +182,41 @@ class Windows:
             cells, n, cell = pair, -(-n // 2), 2 * cell
 
 
+class Short:
+    """Where items of fewer than SHORT words stand word by word."""
+
+    def __init__(self, items: Items):
+        self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, SHORT):
+            item = np.array([i for i, t in enumerate(items.texts) if len(t) == n], np.int64)
+            if len(item):
+                key = self.joined(np.stack([items.texts[i] for i in item]).T)
+                order = np.argsort(key, kind="stable")
+                self.by[n] = key[order], item[order]
+
+    @staticmethod
+    def joined(columns) -> np.ndarray:
+        """One hash for the words that stand beside each other in some columns."""
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + c)
+        return key
+
+    def found(self, h: np.ndarray, doc: np.ndarray):
+        """(text, item, begin, end) of the first place of every such item in every text."""
+        for n, (keys, items) in self.by.items():
+            m = len(h) - n + 1
+            if m < 1:
+                continue
+            key = self.joined([h[i : i + m] for i in range(n)])
+            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            at = np.flatnonzero((hi > lo) & (doc[:m] == doc[n - 1 :]))
+            _, first = np.unique(np.stack([doc[at], lo[at]]), axis=1, return_index=True)
+            for b in at[first].tolist():
+                for t in items[lo[b] : hi[b]].tolist():
+                    yield int(doc[b]), t, b, b + n
+
+
 class Rarest:
     """Where so many of an item's rarest words stand that it may be found there.
 
@@ -273,7 +309,7 @@ class Model:
         most = LEAST_WINDOW
         while most < longest:
             most *= 2
-        rarest = Rarest(self.items, self.idf)
+        rarest, short = Rarest(self.items, self.idf), Short(self.items)
         scaled = self.basis * self.idf[:, None].astype(np.float32)
         some = np.flatnonzero((length > 0) & (length < FINE))
         every = np.flatnonzero(length > 0)
@@ -290,6 +326,8 @@ class Model:
                 live[size] = rarest.live(runs, size, len(h))
                 size *= 2
             near: dict[tuple[int, int], list] = {}
+            for d, t, b, e in short.found(h, doc):
+                near[d, t] = [(1.0, b, e)]
             for of, lo, hi in w.groups(most, live[most]):
                 for size, text, b, v in w.latent(scaled, lo, hi, live):
                     items = some if size == LEAST_WINDOW else every

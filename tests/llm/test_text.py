@@ -125,6 +125,20 @@ def test_decontamination_finds_edited_items_in_any_corpus():
         assert planted(texts, docs, rows, scale) == want
 
 
+def test_decontamination_finds_short_items_in_long_texts():
+    docs = [data.words(i, 400, 1500) for i in range(60)]
+    texts = [data.words(7000 + i, n, 1500) for i, n in enumerate((1, 2, 3, 4, 5, 7, 7, 30))]
+    texts.append(texts[1])
+    rows, want = [], set()
+    for t, text in enumerate(texts[1:7], 1):
+        want |= {(len(rows), i) for i, x in enumerate(texts) if x == text}
+        rows.append(docs[t] + " " + text + " " + docs[t + 20])
+    got = planted(texts, docs, rows + [" ".join(texts[1].split()[:1]), ""])
+    assert want <= got
+    for r, t in got - want:  # else only what is there in order
+        assert decontamination.lcs(texts[t].split(), (rows[r] if r < len(rows) else texts[1].split()[0]).split()) == len(texts[t].split())
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
