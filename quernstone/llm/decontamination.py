@@ -40,7 +40,7 @@ from .session import bounded_batches, partitions
 RANK = 224
 BLOCK_BYTES = 1 << 20
 PASSAGE = 32
-LEAST_WINDOW, MOST_WINDOW = 8, 512
+LEAST_WINDOW = 8  # they double up to the longest item
 RAREST = 0.2  # of an item's words must be among its rarest words, see Rarest
 FINE = 32  # items of fewer words are compared with the least windows
 SPARSE = 0.1  # passages of less coverage are nothing to the decomposition
@@ -305,7 +305,7 @@ class Model:
         """(row, item, cosine, lcs, share, answer share) of the items found."""
         look, mark = K.Lookup(self.items.keys), np.zeros(len(self.items.keys), np.int64)
         length = np.array([len(t) for t in self.items.texts])
-        longest = min(max(int(length.max()), LEAST_WINDOW), MOST_WINDOW)
+        longest = max(int(length.max()), LEAST_WINDOW)
         most = LEAST_WINDOW
         while most < longest:
             most *= 2

@@ -139,6 +139,12 @@ def test_decontamination_finds_short_items_in_long_texts():
         assert decontamination.lcs(texts[t].split(), (rows[r] if r < len(rows) else texts[1].split()[0]).split()) == len(texts[t].split())
 
 
+def test_decontamination_finds_items_longer_than_512_words():
+    docs = [data.words(i, 400, 20_000) for i in range(20)]
+    texts = [data.words(7000, 6000, 20_000), data.words(7001, 30, 20_000)]
+    assert planted(texts, docs, [docs[0] + " " + texts[0] + " " + docs[1], docs[2]]) == {(0, 0)}
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
