@@ -6,7 +6,9 @@ their token bitmaps and the range of their sizes; inner nodes combine
 tokens of x are not in y, so the overlap is at most ``|x|`` less that; with
 ``overlap >= 4/9 (|x| + |y|)``, which a similarity of 0.8 needs, a pair of
 nodes is pruned unless ``5 max|A| - 4 min|B| >= 9 |AND(A) minus OR(B)|`` and
-the same the other way round.
+the same the other way round.  Bitmaps have two bits for each token of the
+largest set, so that they tell long sets apart too; a bitmap folds into a
+narrower one by OR, of OR and AND bitmaps alike.
 """
 
 from __future__ import annotations
@@ -15,19 +17,33 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WORDS = 32  # of 64 bits
+LEAST_WORDS = 32  # of 64 bits
+MOST_WORDS = 4096
 FANOUT = 8
-CHUNK = 1 << 14
+CHUNK = 1 << 19  # words of bitmaps compared at once
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
+def words_for(size: int, most: int = MOST_WORDS) -> int:
+    """Words of the bitmaps of sets of so many tokens: a power of two."""
+    words = LEAST_WORDS
+    while words < most and 32 * words < size:
+        words *= 2
+    return words
+
+
+def bitmap(tokens: np.ndarray, words: int = LEAST_WORDS) -> np.ndarray:
     """Token bitmap of one set of hashes."""
-    out = np.zeros(WORDS, np.uint64)
-    bit = tokens >> np.uint64(53)  # 11 bits
+    out = np.zeros(words, np.uint64)
+    bit = tokens & np.uint64(64 * words - 1)
     np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap in fewer words: a token's bit is the same one of the narrower bitmap."""
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 @dataclass
 class Nodes:
     either: np.ndarray  # OR of the bitmaps
@@ -41,10 +57,14 @@ class Nodes:
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = (5 * self.high[a] >= 4 * self.low[b]) & (5 * self.high[b] >= 4 * self.low[a])
-        x, y = a[ok], b[ok]
-        there = np.bitwise_count(self.every[x] & ~self.either[y]).sum(1, dtype=np.int64)
-        back = np.bitwise_count(self.every[y] & ~self.either[x]).sum(1, dtype=np.int64)
-        ok[ok] = (5 * self.high[x] - 4 * self.low[y] >= 9 * there) & (5 * self.high[y] - 4 * self.low[x] >= 9 * back)
+        at = np.flatnonzero(ok)
+        step = max(1, CHUNK // self.either.shape[1])
+        for i in range(0, len(at), step):
+            some = at[i : i + step]
+            x, y = a[some], b[some]
+            there = np.bitwise_count(self.every[x] & ~self.either[y]).sum(1, dtype=np.int64)
+            back = np.bitwise_count(self.every[y] & ~self.either[x]).sum(1, dtype=np.int64)
+            ok[some] = (5 * self.high[x] - 4 * self.low[y] >= 9 * there) & (5 * self.high[y] - 4 * self.low[x] >= 9 * back)
         return ok
 
 
@@ -64,6 +84,7 @@ def pairs(leaves: Nodes):
     while len(levels[-1].low) > 1:
         levels.append(levels[-1].parents())
     child = np.arange(FANOUT)
+    step = 1 << 14
     todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         level, a, b = todo.pop()
@@ -80,8 +101,8 @@ def pairs(leaves: Nodes):
         y = (b[:, None, None] * FANOUT + child[None, None, :]).repeat(FANOUT, 1).ravel()
         keep = (x <= y) & (x < size) & (y < size)
         x, y = x[keep], y[keep]
-        for i in range(0, len(x), CHUNK):
-            todo.append((level - 1, x[i : i + CHUNK], y[i : i + CHUNK]))
+        for i in range(0, len(x), step):
+            todo.append((level - 1, x[i : i + step], y[i : i + step]))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:

@@ -40,6 +40,21 @@ def test_unique_rows_are_not_shuffled(spark):
     assert not got[7].kept and got[5000].kept and got[7].group_size == 2 and sum(r.kept for r in got.values()) == 2000
 
 
+@pytest.mark.parametrize("blocks", [4096, 0])
+def test_keep_last(spark, blocks):
+    """One row of every text stays, the largest doc_id; columns of any name stay with it."""
+    rows = data.texts() + [(30, "other text of an id"), (31, "other text of an id"), (31, "other text of an id")]
+    docs = data.documents(spark, rows)
+    got = exact_dedup.keep_last(docs, max_blocks=blocks)
+    assert got.columns == docs.columns
+    best = {}
+    for i, t in rows:
+        best[t or ""] = max((x for x in (best.get(t or ""), i) if x is not None), default=None)
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter((i, t) for t, i in best.items())
+    assert exact_dedup.keep_last(data.empty(spark)).count() == 0
+    assert Counter((r.doc_id, r.kept) for r in exact_dedup.exact_dedup(docs, max_blocks=blocks).collect()) == Counter((r.doc_id, r.kept) for r in exact_dedup.exact_dedup(docs).collect())
+
+
 def shingle_sets(rows):
     out = []
     for i, t in rows:
@@ -85,6 +100,28 @@ def test_jaccard_threshold_is_exact(spark):
     assert got == brute_components(rows) == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_jaccard_rows_of_one_id(spark):
+    """Different texts of one doc_id are documents of their own; one of each group comes first."""
+    a, b, c = data.words(1, 60), data.words(2, 60), data.words(3, 300)
+    rows = [(3, a), (5, data.edited(a, 1, 1)), (5, b), (9, c), (9, data.edited(c, 2, 3)), (10, data.edited(c, 3, 3)), (11, None), (11, "")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hashes = {r.h: t for r, (_, t) in zip(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("xxhash64(coalesce(text, '')) h").collect(), rows, strict=True)}
+    found = {(r.doc_id, hashes[r.text_hash] or ""): (r.component_id, r.first) for r in got}
+    assert [found[(i, t or "")][0] for i, t in rows] == [3, 3, 5, 9, 9, 9, 11, 11]
+    firsts = [found[(i, t or "")][1] for i, t in rows]
+    assert firsts[:3] == [True, False, True] and sum(firsts[3:6]) == 1 and not firsts[5] and firsts[6:] == [True, True]
+
+
+def test_many_equal_and_near_rows(spark):
+    """Groups of thousands: equal rows, and a chain of near copies over many blocks."""
+    base = data.words(8, 400).split()
+    rows = [(i, "the same words here again and again") for i in range(3000)] + [(20, "the same words here again and again")] * 500
+    rows += [(4000 + i, " ".join([*base[:i], f"n{i}", *base[i + 1 :]])) for i in range(400)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0, 4000}
+    assert [r.doc_id for r in got if r.first] and {r.doc_id for r in got if r.first} == {0, 4000}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(data.empty(spark)).count() == 0
 
@@ -102,6 +139,15 @@ def test_signature_tree_keeps_all_similar_pairs():
     assert true and true <= found and len(found) < 0.2 * len(sets) ** 2
 
 
+@pytest.mark.parametrize("size", [2000, 20_000])
+def test_signature_tree_tells_long_sets_apart(size):
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(0, 2**63, size + i, dtype=np.uint64)) for i in range(40)]
+    sets += [np.sort(np.r_[s[size // 20 :], rng.integers(0, 2**63, 9, dtype=np.uint64)]) for s in sets[:5]]
+    found = {(int(a), int(b)) for x, y in signature_tree.pairs(jaccard_join._leaves(sets)) for a, b in zip(x, y, strict=True)}
+    assert {(i, 40 + i) for i in range(5)} <= found and len(found) < 20
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (50, 60), (60, 70), (7, 7)] + [(100, x) for x in range(101, 140)]
     nodes = spark.createDataFrame([(i,) for i in range(150)], "node long")
@@ -109,6 +155,19 @@ def test_components(spark):
     assert len(got) == 150 and got[30] == 1 and got[70] == 40 and got[139] == 100 and got[0] == 0 and got[149] == 149
 
 
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (2600, 2))] + [(i, 5000 - i % 7) for i in range(3000, 4000)] + [(6000 + 2 * i, 6002 + 2 * i) for i in range(600)]
+    up = list(range(8000))
+    for a, b in links * 40:
+        up[a] = up[b] = min(up[a], up[b])
+    for a, b in links[::-1] * 40:
+        up[a] = up[b] = min(up[a], up[b])
+    nodes = spark.createDataFrame([(i,) for i in range(8000)], "node long")
+    got = {r.node: r.comp for r in components(nodes, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict(enumerate(up))
+
+
 def brute_passages(rows, length):
     bodies = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[s : s + length] for _, b in bodies for s in range(len(b) - length + 1))
