@@ -2,11 +2,17 @@
 
 Every stage works on what its predecessor kept and returns the columns of
 documents; the last one returns the mix.
+
+Defined cases, for every stage: null and empty texts are clean documents without
+words (of several, exact dedup keeps one); rows without doc_id and with nulls in
+other columns take part by their text; rows of one doc_id with different texts
+are documents of their own; an empty table gives an empty result; columns of
+other names go along up to the mix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontamination, exact_dedup, jaccard_join, mixing, toxicity
@@ -20,17 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of repeated rows one."""
-    gone = exact_dedup.exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id", "_text_sha").orderBy("source", "lang"))
-    return kept.withColumn("_again", again).where("_again = 1").select(*docs.columns)
+    return exact_dedup.keep_last(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of similar documents the one with the least doc_id stays."""
-    gone = jaccard_join.jaccard_components(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_id"), "left_anti")
+    """Of every component of similar documents the row with the least doc_id stays.
+
+    Rows are told apart by doc_id and text, so that different texts of one doc_id
+    each count; rows without doc_id stay.
+    """
+    gone = jaccard_join.jaccard_components(docs).where("not first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = (docs.doc_id == F.col("_id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("_hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
