@@ -8,7 +8,7 @@ full distribution over words, one unknown word for each class included, while
 the trained table stays bounded.
 
 Training starts on a bounded sample and then makes ``ROUNDS`` passes of
-Baum-Welch over all training texts; expected counts are added up in each
+Baum-Welch over all training texts, each from end to end; expected counts are added up in each
 partition and then across partitions.  Word counts come from all training
 texts through a packed exchange: batches of texts ask for the counts of their
 distinct words, so a frequent word moves once for each batch.  The score is
@@ -38,7 +38,6 @@ END = np.uint64((CLASSES - 1) << 52)
 SAMPLE = 1000
 SAMPLE_ROUNDS = 12
 ROUNDS = 2
-SEGMENT = 256
 SLICE = 2 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -80,7 +79,7 @@ class Model:
 
     def expected(self, groups: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Expected counts (starts, moves, emissions) and the log likelihood, as one vector."""
-        lengths = chain.segments(sizes, SEGMENT)
+        lengths = sizes
         e = self.emit[groups]
         alpha, scale = chain.forward(e, lengths, self.start, self.move)
         beta = chain.backward(e, scale, lengths, self.move)
@@ -105,7 +104,7 @@ class Model:
 def train(docs: DataFrame, use, rounds: int = ROUNDS, most: int = SAMPLE) -> Model:
     """Baum-Welch on a bounded sample, then `rounds` passes over all rows that `use` marks."""
     rows = docs.where(use)
-    got = sample.texts_of(docs, sample.bounded_ids(rows.where("doc_id is not null").select("doc_id"), most))
+    got = sample.texts(rows, F.lit(0), most)
     parts = [tokens(buf, off) for _, _, buf, off in K.slices(got["text"], SLICE)]
     if not parts:
         return Model.first(np.zeros(0, np.int64))

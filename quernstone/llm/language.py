@@ -9,7 +9,7 @@ by word.  A document's language is the one with the largest sum of these
 probabilities over words with letters; its score is that share.
 
 Training maximises the conditional likelihood on a bounded sample
-(``MAX_TRAIN`` documents by hash of doc_id), where every word of a document
+(``MAX_TRAIN`` rows by hash of doc_id and text, whole texts), where every word of a document
 has the document's lang.
 
 Defined cases: null texts and texts without a letter give ``und`` and score 0;
@@ -35,7 +35,6 @@ BUCKETS = 1 << 17
 AFFIXES = (1, 2, 3, 4)
 EPOCHS = 4
 BATCH_WORDS = 40_000
-SEGMENT = 256
 SLICE = 4 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 LETTER = np.zeros(256, bool)
@@ -148,7 +147,7 @@ def train(column: pa.Array, langs: np.ndarray, epochs: int = EPOCHS) -> Model:
                 continue
             gold = gold_of[a + doc]
             sizes = np.bincount(doc, minlength=len(off) - 1)
-            lengths = chain.segments(sizes[sizes > 0], SEGMENT)
+            lengths = sizes[sizes > 0]
             emit = likelihoods(word_scores(m.weights, owner, slot))[of]
             start, move = np.exp(m.start), np.exp(m.moves)
             alpha, scale = chain.forward(emit, lengths, start, move)
@@ -177,9 +176,9 @@ def train(column: pa.Array, langs: np.ndarray, epochs: int = EPOCHS) -> Model:
 def fit(docs: DataFrame, use, most: int = MAX_TRAIN) -> Model:
     """Learn from at most `most` of the rows that the column `use` marks, with text and lang."""
     bounded_batches(docs.sparkSession)
-    rows = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    got = sample.texts_of(docs.where("text is not null"), sample.bounded_ids(rows.select("doc_id", "lang"), most))
-    return train(got["text"], np.array(got["lang"].to_pylist(), object))
+    rows = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    got = sample.texts(rows, F.col("lang"), most)
+    return train(got["text"], np.array(got["value"].to_pylist(), object))
 
 
 def identify(docs: DataFrame, model: Model, held_out) -> DataFrame:

@@ -141,9 +141,8 @@ def train(column: pa.Array, labels: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """Learn from at most `most` rows of labels with a non-null quality (1 is good)."""
     bounded_batches(docs.sparkSession)
-    chosen = sample.bounded_ids(labels.where("quality is not null and doc_id is not null").select("doc_id", "quality"), most)
-    got = sample.texts_of(docs, chosen)
-    return train(got["text"], got["quality"].to_numpy() == 1)
+    got = sample.labelled(docs, labels, "quality", most)
+    return train(got["text"], got["value"].to_numpy() == 1)
 
 
 def quality(docs: DataFrame, model: Model, held_out) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Features are the words of a text and their prefixes, hashed to 64 bits, by
 ``log(1 + count)``.  From a bounded labelled sample (``MAX_LABELLED`` rows, by
-hash of doc_id) the features with the strongest association with
+hash of doc_id and text, of ``sample.MAX_BYTES`` at most) the features with the strongest association with
 ``labels.toxic`` are selected.  Grades: 0 for a clean text; a toxic one is
 graded 1, 2 or 3 by the tertile of its number of words that carry a selected
 feature, as the labels hold no finer severity.  One weight vector is shared by
@@ -10,7 +10,7 @@ the ordered thresholds: ``P(grade > k) = logistic(w.x - theta_k)``.  The output
 is the expected severity ``sum_k P(grade > k)`` over the whole text.
 
 Defined cases: null or empty text scores as a text without features; doc_id may
-be null or repeated; without labelled rows of both kinds all rows get severity
+be null or repeated (of several labels of one doc_id the largest counts, for all its texts); without labelled rows of both kinds all rows get severity
 0; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -186,9 +186,8 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """Learn from at most `most` rows of labels with a non-null toxic (1 is toxic)."""
     bounded_batches(docs.sparkSession)
-    chosen = sample.bounded_ids(labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic"), most)
-    got = sample.texts_of(docs, chosen)
-    return train(got["text"], got["toxic"].to_numpy() == 1)
+    got = sample.labelled(docs, labels, "toxic", most)
+    return train(got["text"], got["value"].to_numpy() == 1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

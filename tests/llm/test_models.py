@@ -57,6 +57,47 @@ def test_chain_matches_brute_force():
     assert chain.segments(np.array([5, 0, 4]), 2).tolist() == [2, 2, 1, 2, 2]
 
 
+def test_chain_is_exact_over_long_sequences(monkeypatch):
+    """Parts of long sequences give the same as one run over each sequence."""
+    rng = np.random.default_rng(4)
+    lengths = np.array([3, 1, 700, 64, 65, 1, 128, 17])
+    emit, start, move = rng.random((lengths.sum(), 3)) + 1e-3, rng.random(3), rng.random((3, 3)) ** 3
+    want = chain.forward(emit, lengths, start, move)
+    monkeypatch.setattr(chain, "LONG", 16)
+    alpha, scale = chain.forward(emit, lengths, start, move)
+    assert np.allclose(alpha, want[0]) and np.allclose(scale, want[1])
+    beta = chain.backward(emit, scale, lengths, move)
+    monkeypatch.setattr(chain, "LONG", 10_000)
+    assert np.allclose(beta, chain.backward(emit, scale, lengths, move)) and np.allclose((alpha * beta).sum(1), 1)
+    # step by step
+    a, at = start * emit[4], 4
+    for t in range(1, 700):
+        a = (a / a.sum() @ move) * emit[at + t]
+    assert np.isclose(a.sum(), scale[at + 699])
+
+
+def test_a_sample_has_rows_and_bytes(spark):
+    """Different texts of one doc_id are rows of their own, with their own values; repeated rows count once."""
+    rows = [(1, "good text", "en"), (1, "texte sans langue", None), (1, "andere", "de")] + [(2, "again", "fr")] * 50 + [(None, "no id", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sample.texts(docs.where("lang is not null"), sample.F.col("lang"), 100)
+    assert sorted(zip(got["text"].to_pylist(), got["value"].to_pylist(), strict=True)) == [("again", "fr"), ("andere", "de"), ("good text", "en")]
+    assert sum(map(len, sample.texts(docs, sample.F.lit(0), 100, 15)["text"].to_pylist())) <= 15
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (2, None)], "doc_id long, toxic int")
+    got = sample.labelled(docs, labels, "toxic", 100)
+    assert sorted(zip(got["text"].to_pylist(), got["value"].to_pylist(), strict=True)) == [("again", 0), ("andere", 1), ("good text", 1), ("texte sans langue", 1)]
+    assert sample.texts(docs.limit(0), sample.F.lit(0), 5).num_rows == 0
+
+
+def test_expected_moves_of_a_long_text():
+    """Every token but the first of a text is moved to, however long the text is."""
+    rng = np.random.default_rng(2)
+    groups, sizes = rng.integers(0, hmm.CLASSES, 10_300), np.array([10_000, 300])
+    v = hmm.Model.first(groups).expected(groups, sizes)
+    s = hmm.STATES
+    assert np.isclose(v[:s].sum(), 2) and np.isclose(v[s : s + s * s].sum(), 10_298) and np.isclose(v[s + s * s : -1].sum(), 10_300)
+
+
 def test_toxicity_held_out(spark):
     larger = FOLDER.replace("0.01", "0.1")  # of ten toxic words or stems each must be seen
     docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
@@ -114,6 +155,7 @@ def test_language(spark, docs):
     assert all(r.held_out == (crc(r.doc_id, 5) == 0) and 0 <= r.score <= 1 for r in rows)
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) / len(held) > 0.97
     model = language.fit(docs, ~(sample.remainder("doc_id", 5) == 0), 300)
+    assert model.labels == sorted({x for x in langs.values() if x})
     mixed = "Le êeaux de la une que réeau pour les dans " * 3 + "the of and that thing with there for are " * 3
     found = [w for _, w in model.words(mixed)]
     assert found[5] == "fr" and found[-5] == "en"
