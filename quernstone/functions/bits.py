@@ -1,24 +1,38 @@
 """Bit strings, most significant bit first, and the codes written in them.
 
-A bit string is a pair (number, count of bits) while it grows; Python's long
-integers make appending and cutting plain arithmetic.
+A growing string keeps its whole bytes in a byte array and the rest, at most
+``HELD`` bits and a value, in a number, so that a value costs its own bits.
 """
 
 from __future__ import annotations
 
 from .varint import CorruptData
 
+HELD = 512
+
 
 class Bits:
-    def __init__(self, value: int = 0, count: int = 0):
-        self.value, self.count = value, count
+    def __init__(self) -> None:
+        self.whole, self.value, self.held = bytearray(), 0, 0
+
+    @property
+    def count(self) -> int:
+        return 8 * len(self.whole) + self.held
 
     def fixed(self, value: int, width: int) -> Bits:
         if value >> width:
             raise ValueError(f"{value} needs more than {width} bits")
-        self.value, self.count = self.value << width | value, self.count + width
+        self.value, self.held = self.value << width | value, self.held + width
+        if self.held > HELD:
+            self.settle()
         return self
 
+    def settle(self) -> None:
+        """Move whole bytes to the byte array."""
+        tail = self.held % 8
+        self.whole += (self.value >> tail).to_bytes(self.held // 8, "big")
+        self.value, self.held = self.value & ((1 << tail) - 1), tail
+
     def unary(self, n: int) -> Bits:
         """n - 1 ones and a zero."""
         return self.fixed((1 << n) - 2, n)
@@ -29,7 +43,7 @@ class Bits:
         return self.unary(width).fixed(n - (1 << (width - 1)), width - 1)
 
     def __str__(self) -> str:
-        return format(self.value, f"0{self.count}b") if self.count else ""
+        return "".join(f"{b:08b}" for b in self.whole) + (format(self.value, f"0{self.held}b") if self.held else "")
 
 
 class BitReader:

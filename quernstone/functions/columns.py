@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
-from . import bits, chunks, interpolative, sortable, stem, varint, vs
+from . import bits, chunks, interpolative, stem, vs
 
 WORD = "[A-Za-z]+"
 
@@ -100,6 +100,105 @@ def acceptable(word: Column) -> Column:
     return (F.length(word) > 3) | word.rlike("^[aeiouy][b-df-hj-np-tv-xz]") | word.rlike("^[^aeiouy][aeiouy].$")
 
 
+# ---- value codes as bytes
+
+
+def _at(b: Column, i: int | Column) -> Column:
+    """Value of the byte at a position from 1; null behind the end."""
+    one = F.substring(b, F.lit(i) if isinstance(i, int) else i, F.lit(1))
+    return F.when(F.octet_length(one) == 1, F.conv(F.hex(one), 16, 10).cast("long"))
+
+
+def _corrupt(what: str) -> Column:
+    return F.raise_error(F.lit(what))
+
+
+def varint_put(v: Column) -> Column:
+    return F.unhex(varint_hex(v))
+
+
+def _varint_bytes(b: Column) -> Column:
+    """Bytes of the variable-byte integer that b begins with; an error if it doesn't end."""
+    out = _corrupt("truncated integer").cast("int")
+    for i in range(5, 0, -1):
+        out = F.when(_at(b, i) < 128, i).otherwise(out)
+    return out
+
+
+def varint_get(b: Column) -> Column:
+    n, value = _varint_bytes(b), F.lit(0).cast("long")
+    for i in range(5):
+        value = value + F.when(n > i, F.shiftleft(_at(b, i + 1).bitwiseAND(F.lit(127)), 7 * i)).otherwise(0)
+    return value
+
+
+def _little(v: Column, width: int) -> list[Column]:
+    return [_byte(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))) for i in range(width)]
+
+
+def fixed_put(v: Column, width: int) -> Column:
+    """Little-endian bytes."""
+    return F.unhex(F.concat(*_little(v, width)))
+
+
+def _from_little(b: Column, width: int) -> Column:
+    return sum((F.shiftleft(F.coalesce(_at(b, i + 1), F.lit(0).cast("long")), 8 * i) for i in range(width)), F.lit(0).cast("long"))
+
+
+def fixed_get(b: Column, width: int) -> Column:
+    return F.when(F.octet_length(b) < width, _corrupt("truncated fixed-width integer").cast("long")).otherwise(_from_little(b, width))
+
+
+def last_put(v: Column) -> Column:
+    """As few little-endian bytes as hold the value; none for 0."""
+    return F.unhex(F.concat(*(F.when(v >= 1 << (8 * i), x).otherwise("") if i else F.when(v > 0, x).otherwise("") for i, x in enumerate(_little(v, 4)))))
+
+
+def last_get(b: Column) -> Column:
+    return F.when(F.octet_length(b) > 4, _corrupt("integer of more than four bytes").cast("long")).otherwise(_from_little(b, 4))
+
+
+def bool_put(v: Column) -> Column:
+    return F.encode(F.when(v, "1").otherwise("0"), "UTF-8")
+
+
+def bool_get(b: Column) -> Column:
+    return F.when(F.hex(b) == "31", True).when(F.hex(b) == "30", False).otherwise(_corrupt("no boolean").cast("boolean"))
+
+
+def string_put(s: Column) -> Column:
+    return F.concat(varint_put(F.octet_length(s).cast("long")), F.encode(s, "UTF-8"))
+
+
+def string_get(b: Column) -> Column:
+    rest = F.substring(b, _varint_bytes(b) + 1, varint_get(b).cast("int"))
+    return F.when(F.octet_length(rest) < varint_get(b), _corrupt("truncated string")).otherwise(F.decode(rest, "UTF-8"))
+
+
+def sortable_put(v: Column) -> Column:
+    return F.unhex(sortable_hex(v))
+
+
+def sortable_get(b: Column) -> Column:
+    more = F.floor(_at(b, 1) / 64) + 2  # bytes
+    value = F.lit(0).cast("long")
+    for i in range(5):
+        byte = _at(b, i + 1)
+        value = F.when(more > i, value * 256 + (byte % 64 if i == 0 else byte)).otherwise(value)
+    return F.when(F.octet_length(b) < more, _corrupt("truncated key").cast("long")).otherwise(value)
+
+
+def sortable_string_put(s: Column) -> Column:
+    """Bytes with 00 written as 00FF, ended by 00; pairs of digits are kept together by \\G."""
+    return F.unhex(F.concat(F.regexp_replace(F.hex(F.encode(s, "UTF-8")), r"\G((?:(?!00)..)*+)00", "$100FF"), F.lit("00")))
+
+
+def sortable_string_get(b: Column) -> Column:
+    """The string before the first 00 that no FF follows."""
+    body = F.regexp_extract(F.hex(b), r"^((?:(?!00)..|00FF)*+)", 1)
+    return F.decode(F.unhex(F.regexp_replace(body, r"\G((?:(?!00)..)*+)00FF", "$100")), "UTF-8")
+
+
 # ---- Arrow UDFs
 
 
@@ -146,20 +245,6 @@ def _rows(pairs) -> list[dict]:
     return [{"did": d, "val": v} for d, v in pairs]
 
 
-varint_put = _udf(BYTES, lambda v: varint.put(v))
-varint_get = _udf(pa.int64(), lambda b: varint.get(b)[0])
-fixed_put = _udf(BYTES, lambda v, w: varint.put_fixed(v, w))
-fixed_get = _udf(pa.int64(), lambda b, w: varint.get_fixed(b, 0, w)[0])
-last_put = _udf(BYTES, lambda v: varint.put_last(v))
-last_get = _udf(pa.int64(), lambda b: varint.get_last(b))
-bool_put = _udf(BYTES, lambda v: varint.put_bool(v))
-bool_get = _udf(pa.bool_(), lambda b: varint.get_bool(b)[0])
-string_put = _udf(BYTES, lambda v: varint.put_string(v.encode()))
-string_get = _udf(pa.string(), lambda b: varint.get_string(b)[0].decode())
-sortable_string_put = _udf(BYTES, lambda v: sortable.put_string(v.encode()))
-sortable_string_get = _udf(pa.string(), lambda b: sortable.get_string(b)[0].decode())
-sortable_put = _udf(BYTES, lambda v: sortable.put_uint(v))
-sortable_get = _udf(pa.int64(), lambda b: sortable.get_uint(b)[0])
 vs_encode = _udf(BYTES, lambda v: vs.encode(v))
 vs_encode_optimal = _udf(BYTES, lambda v: vs.encode(v, optimal=True))
 vs_decode = _udf(INTS, lambda b: vs.decode(b))

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from . import varint
 
 
+HELD = 512  # bits of a growing string that are not in its byte array yet
+
+
 class Writer:
     def __init__(self) -> None:
-        self.value, self.count = 0, 0
+        self.whole, self.value, self.count = bytearray(), 0, 0
 
     def put(self, value: int, outof: int) -> None:
         """Centred minimal binary: the middle values take a bit less."""
@@ -24,22 +27,25 @@ class Writer:
             value = (value - mid - spare) | 1 << (bits - 1)
         self.value |= value << self.count
         self.count += bits
+        if self.count > HELD:
+            n = self.count // 8
+            self.whole += (self.value & ((1 << (8 * n)) - 1)).to_bytes(n, "little")
+            self.value, self.count = self.value >> (8 * n), self.count - 8 * n
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes(-(-self.count // 8), "little")
+        return bytes(self.whole) + self.value.to_bytes(-(-self.count // 8), "little")
 
 
 class Reader:
     def __init__(self, buf: bytes):
-        self.value, self.left = int.from_bytes(buf, "little"), 8 * len(buf)
+        self.buf, self.pos = buf, 0
 
     def bits(self, n: int) -> int:
-        if n > self.left:
+        if self.pos + n > 8 * len(self.buf):
             raise varint.CorruptData("bit string ends inside a value")
-        out = self.value & ((1 << n) - 1)
-        self.value >>= n
-        self.left -= n
-        return out
+        byte, bit = divmod(self.pos, 8)
+        self.pos += n
+        return int.from_bytes(self.buf[byte : byte + (bit + n + 7) // 8], "little") >> bit & ((1 << n) - 1)
 
     def get(self, outof: int) -> int:
         bits = (outof - 1).bit_length()
@@ -53,7 +59,8 @@ class Reader:
         return value
 
     def all_gone(self) -> bool:
-        return self.left < 8 and not self.value
+        left = 8 * len(self.buf) - self.pos
+        return left < 8 and not self.bits(left)
 
 
 def _inner(n: int):

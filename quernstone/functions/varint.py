@@ -6,6 +6,8 @@ a position and return the value and the next position.
 
 from __future__ import annotations
 
+import numpy as np
+
 LIMIT = 1 << 32
 SENTINEL = LIMIT - 1
 
@@ -53,6 +55,13 @@ def size(value: int) -> int:
     return max(1, -(-checked(value).bit_length() // 7))
 
 
+def sizes(values: np.ndarray) -> np.ndarray:
+    """size of each value."""
+    if len(values) and not (0 <= values.min() and values.max() < LIMIT):
+        raise ValueRange("not all are unsigned 32-bit integers")
+    return 1 + sum((values >= 1 << (7 * i)).astype(np.int64) for i in range(1, 5))
+
+
 def byte_width(value: int) -> int:
     """Bytes that hold the value; 1 for 0."""
     return max(1, -(-checked(value).bit_length() // 8))

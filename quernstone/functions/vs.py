@@ -74,9 +74,8 @@ def encode(values: Sequence[int], optimal: bool = False, wrap: bool = False, exa
         bits.gamma(width + 1).unary(b - a)
         for g in gap[a:b]:
             bits.fixed(g, width)
-    tail = bits.count % 8
-    whole = (bits.value >> tail).to_bytes(bits.count // 8, "big")
-    return bytes([bits.value & ((1 << tail) - 1), tail]) + varint.put(len(values)) + varint.put(values[-1] if values else 0) + whole
+    bits.settle()
+    return bytes([bits.value, bits.held]) + varint.put(len(values)) + varint.put(values[-1] if values else 0) + bytes(bits.whole)
 
 
 def header(buf: bytes) -> tuple[int, int]:
@@ -91,7 +90,7 @@ def decode(buf: bytes) -> list[int]:
     n, pos = varint.get(buf, 2)
     _, pos = varint.get(buf, pos)
     body = buf[pos:]
-    text = (format(int.from_bytes(body, "big"), f"0{8 * len(body)}b") if body else "") + (format(buf[0], f"0{buf[1]}b") if buf[1] else "")
+    text = "".join(f"{b:08b}" for b in body) + (format(buf[0], f"0{buf[1]}b") if buf[1] else "")
     reader, out, value = BitReader(text), [], 0
     while len(out) < n:
         width = reader.gamma() - 1

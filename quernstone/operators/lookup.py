@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = 4096  # dids in a cell of a range join
+SEEK_CELL = 1 << 16  # dids that a seek looks at together
 MAX_DID = (1 << 32) - 1
 
 
@@ -45,24 +46,40 @@ def jump_to(probes: DataFrame, postings: DataFrame) -> DataFrame:
     return probes.join(there, ["term", "probe"], "left").withColumn("found", F.col("wdf").isNotNull())
 
 
-def skip_to(probes: DataFrame, postings: DataFrame) -> DataFrame:
-    """Lower-bound seek: the first did at or after each probe in its term's list, null at the end.
+def _seek(probes: DataFrame, entries: DataFrame, up: bool, cell: int) -> DataFrame:
+    """term, probe, e: the nearest of entries(term, e) at or above (up), or at or below, each probe.
 
-    Union and one window over the term's rows: linear, one shuffle.
+    e is a struct that begins with its did.  Entries and probes of one cell of
+    dids are numbered together by one window; a probe without an entry in its
+    cell takes the edge of the next cell that has one, from a window over the
+    term's cells.  Linear, and no task has more than one cell of a term's list.
     """
-    rows = postings.select("term", F.col("did").alias("at"), F.col("did").alias("entry"), F.lit(None).cast("long").alias("probe"))
-    asks = probes.select("term", F.col("probe").alias("at"), F.lit(None).cast("long").alias("entry"), "probe")
-    ahead = Window.partitionBy("term").orderBy("at", F.col("probe").isNotNull().desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return rows.unionByName(asks).withColumn("did", F.first("entry", ignorenulls=True).over(ahead)).where("probe is not null").select("term", "probe", "did")
-
-
-def chunk_seek(probes: DataFrame, chunks: DataFrame) -> DataFrame:
+    e = entries.schema["e"].dataType
+    at = F.col("e").getField(e.names[0])
+    rows = entries.select("term", at.alias("at"), "e", F.lit(None).cast("long").alias("probe"))
+    asks = probes.select("term", F.col("probe").alias("at"), F.lit(None).cast(e).alias("e"), "probe")
+    both = rows.unionByName(asks).withColumn("cell", F.expr(f"at div {cell}"))
+    way = F.col("at").desc() if up else F.col("at").asc()
+    here = Window.partitionBy("term", "cell").orderBy(way, F.col("probe").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("e", F.last("e", ignorenulls=True).over(here)).where("probe is not null")
+    # struct order is the order of dids; null is less than any struct
+    edge = F.min_by("e", at) if up else F.max_by("e", at)
+    cells = both.groupBy("term", "cell").agg(edge.alias("edge"))
+    before = Window.partitionBy("term").orderBy(F.col("cell").desc() if up else F.col("cell").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("term", "cell", F.last("edge", ignorenulls=True).over(before).alias("beyond"))
+    return found.join(cells, ["term", "cell"]).select("term", "probe", F.coalesce("e", "beyond").alias("e"))
+
+
+def skip_to(probes: DataFrame, postings: DataFrame, cell: int = SEEK_CELL) -> DataFrame:
+    """Lower-bound seek: the first did at or after each probe in its term's list, null at the end."""
+    found = _seek(probes, postings.select("term", F.struct("did").alias("e")), True, cell)
+    return found.select("term", "probe", F.col("e.did").alias("did"))
+
+
+def chunk_seek(probes: DataFrame, chunks: DataFrame, cell: int = SEEK_CELL) -> DataFrame:
     """Floor seek: the chunk of each probe's term with the greatest first_did not above the probe."""
-    rows = chunks.select("term", F.col("first_did").alias("at"), F.struct("chunk_no", "first_did", "last_did").alias("chunk"), F.lit(None).cast("long").alias("probe"))
-    asks = probes.select("term", F.col("probe").alias("at"), F.lit(None).cast(rows.schema["chunk"].dataType).alias("chunk"), "probe")
-    back = Window.partitionBy("term").orderBy("at", F.col("probe").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.unionByName(asks).withColumn("c", F.last("chunk", ignorenulls=True).over(back)).where("probe is not null")
-    return out.select("term", "probe", F.col("c.chunk_no").alias("chunk_no"), F.col("c.first_did").alias("first_did"), F.col("c.last_did").alias("last_did"))
+    found = _seek(probes, chunks.select("term", F.struct("first_did", "chunk_no", "last_did").alias("e")), False, cell)
+    return found.select("term", "probe", "e.chunk_no", "e.first_did", "e.last_did")
 
 
 def chunk_contains(seeks: DataFrame) -> DataFrame:

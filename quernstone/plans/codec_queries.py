@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import stem as S
-from ..operators import build, chunking
+from ..operators import build, chunking, stored
 from ..sources.tables import table
 from . import inputs as I
 from .inputs import BODY_BYTES, DOCLEN_ENTRIES, sql
@@ -55,7 +55,7 @@ def sortable_uint(spark, sf):
 @query(sql("SELECT v, row_number() OVER (ORDER BY v) AS place FROM ints", "ints"))
 def key_order(spark, sf):
     """The order of the encoded bytes is the order of the values."""
-    keyed = I.ints(spark, sf).withColumn("key", C.sortable_put("v"))
+    keyed = I.ints(spark, sf).withColumn("key", C.sortable_put(F.col("v")))
     from pyspark.sql import Window
 
     # the first byte's upper bits are the key's length; rows of one length are numbered together
@@ -95,10 +95,10 @@ def code_lengths(spark, sf):
     return I.ints(spark, sf).where("v > 0").select("v", F.col("v").alias("unary_length"), (2 * F.length(F.bin(F.col("v"))) - 1).cast("long").alias("gamma_length"))
 
 
-@query("SELECT doc_id + 1 AS v, repeat('1', ((doc_id % 1000))::INT) || '0' AS bits FROM documents")
+@query("SELECT p_partkey, p_size::BIGINT AS v, repeat('1', p_size - 1) || '0' AS bits FROM part")
 def unary_bits(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select((F.col("doc_id") + 1).alias("v"), C.unary_bits(F.col("doc_id") % 1000 + 1).alias("bits"))
+    v = F.col("p_size").cast("long")
+    return table(spark, sf, "part").select("p_partkey", v.alias("v"), C.unary_bits(v).alias("bits"))
 
 
 @query(sql("SELECT v, repeat('1', length(bin(v))::INT - 1) || '0' || substr(bin(v), 2) AS bits, v AS back FROM ints WHERE v > 0", "ints"))
@@ -117,17 +117,17 @@ def fixed_bits(spark, sf):
 
 @query(sql("SELECT v, v AS back FROM ints", "ints"))
 def varint_rt(spark, sf):
-    return I.ints(spark, sf).select("v", C.varint_get(C.varint_put("v")).alias("back"))
+    return I.ints(spark, sf).select("v", C.varint_get(C.varint_put(F.col("v"))).alias("back"))
 
 
 @query(sql("SELECT v, v AS back FROM ints", "ints"))
 def fixedbytes_rt(spark, sf):
-    return I.ints(spark, sf).select("v", C.fixed_get(C.fixed_put("v", F.lit(4)), F.lit(4)).alias("back"))
+    return I.ints(spark, sf).select("v", C.fixed_get(C.fixed_put(F.col("v"), 4), 4).alias("back"))
 
 
 @query(sql("SELECT v, v AS back FROM ints", "ints"))
 def lastint_rt(spark, sf):
-    return I.ints(spark, sf).select("v", C.last_get(C.last_put("v")).alias("back"))
+    return I.ints(spark, sf).select("v", C.last_get(C.last_put(F.col("v"))).alias("back"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 2 = 0 AS back FROM orders")
@@ -137,12 +137,12 @@ def bool_rt(spark, sf):
 
 @query("SELECT p_partkey, p_name AS back FROM part")
 def string_rt(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", C.string_get(C.string_put("p_name")).alias("back"))
+    return table(spark, sf, "part").select("p_partkey", C.string_get(C.string_put(F.col("p_name"))).alias("back"))
 
 
 @query("SELECT doc_id, sha256(text) AS back FROM documents")
 def sortable_string(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(C.sortable_string_get(C.sortable_string_put("text")), 256).alias("back"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(C.sortable_string_get(C.sortable_string_put(F.col("text"))), 256).alias("back"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 1000 AS back FROM orders")
@@ -189,6 +189,21 @@ def skiplist_rt(spark, sf):
     return chunking.entries_of(chunking.bodies(rows, ["term"], C.skips_encode), ["term"], C.skips_decode)
 
 
+@query(sql("SELECT term, did, wdf FROM postings UNION ALL SELECT '', did, len FROM doclens", "tokens", "postings", "doclens"))
+def stored_chunks_rt(spark, sf):
+    """Posting, skip-list and length chunks with their headers in one table, read back by their codec names."""
+    p = I.postings(spark, sf)
+    skips = F.crc32(F.encode("term", "UTF-8")) % 2 == 0
+    kept = [stored.stored_postings(p.where(skips), BODY_BYTES, "skiplist"), stored.stored_postings(p.where(~skips), BODY_BYTES)]
+    return stored.entries_of(kept[0].unionByName(kept[1]).unionByName(stored.stored_doclens(I.doclens(spark, sf), DOCLEN_ENTRIES)))
+
+
+@query(sql("SELECT term, count(*) AS entries, sum(wdf)::BIGINT AS collfreq, min(did) AS first_did FROM postings GROUP BY term", "tokens", "postings"))
+def stored_headers(spark, sf):
+    """What the first chunks' headers say of their lists, at the production chunk size."""
+    return stored.list_headers(stored.stored_postings(I.postings(spark, sf)))
+
+
 JUMP = sql("SELECT o_orderkey AS did, len FROM orders JOIN doclen_chunks ON o_orderkey BETWEEN first_did AND last_did LEFT JOIN doclens ON did = o_orderkey", "tokens", "doclens", "doclen_rows", "doclen_chunks")
 
 

@@ -48,7 +48,12 @@ def doclen_scan(spark, sf):
 
 @query(sql("SELECT * FROM tokens", "tokens"))
 def positions(spark, sf):
-    return build.position_lists(I.tokens(spark, sf)).select("term", "did", F.explode("pos").alias("pos"))
+    return I.tokens(spark, sf).select("term", "did", "pos")
+
+
+@query(sql("SELECT term, did, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tokens GROUP BY term, did", "tokens"))
+def position_lists(spark, sf):
+    return build.position_lists(I.tokens(spark, sf)).select("term", "did", F.array_join("pos", " ").alias("positions"))
 
 
 @query(sql(f"SELECT did, wdf FROM postings WHERE term = '{WANTED[0]}'", "tokens", "postings"))
@@ -179,6 +184,18 @@ def postlist_chunks(spark, sf):
     return _posting_chunks(spark, sf)
 
 
+@query(sql("SELECT * FROM posting_chunks", "tokens", "postings", extra=split_cte("postings", chunking.BYTES)))
+def postlist_chunks_full(spark, sf):
+    """At the production size of a chunk."""
+    return chunking.posting_chunks(I.postings(spark, sf))
+
+
+@query(sql(f"SELECT did // {chunking.ENTRIES} AS chunk_no, min(did0) AS first_did, max(did0) AS last_did, count(*) AS n_entries FROM (SELECT did AS did0, row_number() OVER (ORDER BY did) - 1 AS did FROM doclens) GROUP BY 1", "tokens", "doclens"))
+def doclen_chunks_full(spark, sf):
+    """At the production size of a chunk."""
+    return chunking.doclen_chunks(I.doclens(spark, sf)).select("chunk_no", "first_did", "last_did", "n_entries")
+
+
 @query(sql("SELECT term, count(*) AS chunks, 0::BIGINT AS out_of_order FROM posting_chunks GROUP BY term", "tokens", "postings", extra=SPLIT))
 def chunk_validate(spark, sf):
     return chunking.validate(_posting_chunks(spark, sf))

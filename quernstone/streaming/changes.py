@@ -2,7 +2,8 @@
 
 Each micro-batch becomes a new version of the table; the pointer to the
 current version is the highest complete one, so a batch that is replayed after
-a failure writes the same version again.
+a failure writes the same version again.  Of several changes to one document in
+a batch the one with the largest ``seq`` counts, be it a length or a delete.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import merge_doclens
 
-CHANGES = "did long, new_len long"
+CHANGES = "did long, new_len long, seq long"
 
 
 def version(path: str, number: int) -> str:
@@ -25,7 +26,7 @@ def start(spark: SparkSession, changes_path: str, path: str, checkpoint: str) ->
 
     def apply(batch: DataFrame, number: int) -> None:
         old = spark.read.parquet(version(path, number))
-        latest = batch.groupBy("did").agg(F.max("new_len").alias("new_len"))  # one change for each did
+        latest = batch.groupBy("did").agg(F.max(F.struct("seq", "new_len"))["new_len"].alias("new_len"))
         merge_doclens(old, latest).write.mode("overwrite").parquet(version(path, number + 1))
 
     stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(changes_path)

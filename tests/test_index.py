@@ -1,11 +1,13 @@
 """Index operators on small lists: seeks, merges, chunk edges, plans, sources, streams."""
 
 import random
+import time
 
 import pytest
 
+from quernstone.functions import chunks, interpolative, sortable, varint, vs
 from quernstone.functions import columns as C
-from quernstone.operators import build, chunking, lookup, merge
+from quernstone.operators import build, chunking, lookup, merge, stored
 from quernstone.sources import tables
 from quernstone.streaming import changes
 
@@ -29,9 +31,9 @@ def test_seeks(spark, lists, postings):
         assert r.did == min((d for d in lists.get(r.term, {}) if d >= r.probe), default=None)
     for r in lookup.jump_to(probes, postings).collect():
         assert (r.wdf, r.found) == (lists.get(r.term, {}).get(r.probe), r.probe in lists.get(r.term, {}))
-    chunks = chunking.posting_chunks(postings, 50)
-    bounds = [(c.term, c.first_did, c.last_did) for c in chunks.collect()]
-    for r in lookup.chunk_contains(lookup.chunk_seek(probes, chunks)).collect():
+    split = chunking.posting_chunks(postings, 50)
+    bounds = [(c.term, c.first_did, c.last_did) for c in split.collect()]
+    for r in lookup.chunk_contains(lookup.chunk_seek(probes, split)).collect():
         below = [(f, l) for t, f, l in bounds if t == r.term and f <= r.probe]
         assert (r.first_did, r.last_did) == (max(below) if below else (None, None))
         assert r.inside == bool(below and r.probe <= max(below)[1])
@@ -82,13 +84,114 @@ def test_scan_is_pruned(spark, tmp_path, postings):
     tables.write_postings(postings, path, buckets=4)
     one = tables.read_postings(spark, path, "b", buckets=4).select("did")
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(term_bucket" in plan or "PartitionFilters: [(term_bucket" in plan
+    pruned = plan.split("PartitionFilters:")[1].split("PushedFilters:")[0]
+    assert "term_bucket" in pruned and "gen" in pruned
     assert "In(term, [b])" in plan or "EqualTo(term,b)" in plan
     assert "wdf" not in plan.split("ReadSchema:")[1]
     assert one.count() == 40
-    before = spark.read.parquet(path).count()
+    before = tables.read_postings(spark, path).count()
     tables.merge_into(spark, path, spark.createDataFrame([("b", 1 << 20, 5), ("a", None, None)], "term string, did long, new_wdf long"), buckets=4)
-    assert spark.read.parquet(path).count() == before + 1
+    assert tables.read_postings(spark, path).count() == before + 1
+
+
+def test_merge_into_empties_buckets(spark, tmp_path):
+    """Deletes that empty a bucket, or the whole table, are not lost; untouched buckets keep their files."""
+    path, schema = str(tmp_path / "index"), "term string, did long, new_wdf long"
+    start = {("alpha", 1): 1, ("beta", 1): 2, ("gamma", 5): 3}
+    tables.write_postings(spark.createDataFrame([(*k, v) for k, v in start.items()], "term string, did long, wdf long"), path, buckets=64)
+    now = dict(start)
+    for change in ({("alpha", 1): None}, {("beta", 1): 7, ("none", 3): None}, {("beta", 1): None, ("gamma", 5): None}, {("alpha", 9): 4}, {}):
+        tables.merge_into(spark, path, spark.createDataFrame([(*k, v) for k, v in change.items()], schema))
+        now = {k: v for k, v in (now | change).items() if v is not None}
+        assert {(r.term, r.did): r.wdf for r in tables.read_postings(spark, path).collect()} == now
+        assert {r.did for r in tables.read_postings(spark, path, "alpha").collect()} == {d for t, d in now if t == "alpha"}
+    tables.write_postings(spark.createDataFrame([("delta", 2, 2)], "term string, did long, wdf long"), path)
+    assert [tuple(r) for r in tables.read_postings(spark, path).collect()] == [("delta", 2, 2)]
+    # a generation that no manifest names is not seen
+    spark.createDataFrame([("x", 1, 1, "stray", 0)], tables.POSTINGS).write.mode("append").partitionBy("gen", "term_bucket").parquet(f"{path}/data")
+    assert tables.read_postings(spark, path).count() == 1
+
+
+def test_stored_chunks(spark, tmp_path, lists, postings):
+    lengths = spark.range(1, 4102).selectExpr("id as did", "id % 700 as len")
+    kept = stored.stored_postings(postings, 50).unionByName(stored.stored_postings(postings.selectExpr("concat(term, '+') as term", "did", "wdf"), 50, "skiplist")).unionByName(stored.stored_doclens(lengths))
+    tables.write_chunks(kept, str(tmp_path / "chunks"))
+    back = tables.read_chunks(spark, str(tmp_path / "chunks"))
+    assert {r.codec for r in back.select("codec").distinct().collect()} == {"postings", "skiplist", "lengths"}
+    got = {(r.term, r.did): r.wdf for r in stored.entries_of(back).collect()}
+    want = {(t + x, d): w for x in ("", "+") for t, m in lists.items() for d, w in m.items()} | {("", d): d % 700 for d in range(1, 4102)}
+    assert got == want
+    heads = {r.term: (r.entries, r.collfreq, r.first_did) for r in stored.list_headers(back).collect()}
+    assert all(heads[t] == (len(m), sum(m.values()), min(m)) for t, m in lists.items()) and heads[""][0] == 4101
+    cut = back.where("term = 'c'").withColumn("chunk", C.F.expr("substring(chunk, 1, length(chunk) - 2)"))
+    with pytest.raises(Exception, match="CorruptData"):
+        stored.entries_of(cut).collect()
+
+
+def test_folds_in_batches(spark):
+    """Chunk and run numbers don't depend on where Arrow batches end."""
+    rng = random.Random(9)
+    lists = {t: sorted(rng.sample(range(1, n * 2), n)) for t, n in (("a", 3), ("b", 700), ("c", 40), ("d", 1))} | {"e": list(range(10, 400))}
+    value = lambda d: (1, 200, 300, 70_000)[(d * 7919) % 11 % 4]
+    rows = spark.createDataFrame([(t, d, value(d)) for t, x in lists.items() for d in x], "term string, did long, wdf long")
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    for size in ("10000", "7", "1"):
+        spark.conf.set(key, size)
+        seen.append([sorted(map(tuple, f.collect())) for f in (chunking.posting_chunk_rows(rows, 30), chunking.folded(rows, chunking.Runs, "run"))])
+        spark.conf.unset(key)
+    assert seen[0] == seen[1] == seen[2]
+    want, runs = [], []
+    for t, x in lists.items():
+        chunk, held, last = 0, None, 0
+        for d in x:
+            if held is not None and held >= 30:
+                chunk, held = chunk + 1, None
+            held = (0 if held is None else held + varint.size(d - last - 1)) + varint.size(value(d))
+            want.append((t, d, value(d), chunk))
+            last = d
+        for i, (a, b) in enumerate(chunks.segments([(d, value(d)) for d in x])):
+            runs += [(t, d, value(d), i) for d in x[a:b]]
+    assert seen[0] == [sorted(want), sorted(runs)]
+
+
+def test_seeks_across_cells(spark, lists, postings):
+    rng = random.Random(6)
+    probes = spark.createDataFrame(sorted({(t, rng.randrange(0, 5200)) for t in (*lists, "none") for _ in range(50)}), "term string, probe long")
+    chunks_ = chunking.posting_chunks(postings, 50)
+    for f, rows in ((lookup.skip_to, postings), (lookup.chunk_seek, chunks_)):
+        assert sorted(map(str, f(probes, rows, 64).collect())) == sorted(map(str, f(probes, rows, 1 << 20).collect()))
+
+
+def test_value_codes_match_the_byte_codecs(spark):
+    values = [0, 1, 127, 128, 255, 256, 300, 16383, 16384, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1]
+    v, F = C.F.col("v"), C.F
+    d = spark.createDataFrame([(x,) for x in values], "v long")
+    got = d.select("v", C.varint_put(v), C.fixed_put(v, 4), C.last_put(v), C.sortable_put(v), C.varint_get(C.varint_put(v)), C.fixed_get(C.fixed_put(v, 4), 4), C.last_get(C.last_put(v)), C.sortable_get(C.sortable_put(v))).collect()
+    for x, *r in got:
+        assert [bytes(b) for b in r[:4]] == [varint.put(x), varint.put_fixed(x, 4), varint.put_last(x), sortable.put_uint(x)] and r[4:] == [x] * 4
+    words = ["", "abc", "é漢", "a\0b", "\0", "\0\0x", "p\u0000ÿ", "x" * 300]
+    t = spark.createDataFrame([(w,) for w in words], "s string")
+    for w, a, b, c, e in t.select("s", C.string_put(F.col("s")), C.sortable_string_put(F.col("s")), C.string_get(C.string_put(F.col("s"))), C.sortable_string_get(C.sortable_string_put(F.col("s")))).collect():
+        assert (bytes(a), bytes(b), c, e) == (varint.put_string(w.encode()), sortable.put_string(w.encode()), w, w)
+    for broken in (C.varint_get(F.unhex(F.lit("80"))), C.string_get(F.unhex(F.lit("0561"))), C.bool_get(F.unhex(F.lit("07"))), C.sortable_get(F.unhex(F.lit("c0ff")))):
+        with pytest.raises(Exception, match="truncated|boolean"):
+            spark.range(1).select(broken).collect()
+
+
+def test_random_list(spark):
+    v = [r.v for r in tables.random_list(spark, 70_000, 5).orderBy("pos").collect()]
+    steps = [b - a for a, b in zip(v, v[1:])]
+    assert min(steps) >= 1 and max(steps) > 20_000 and len(v) == 70_000
+    assert v == [r.v for r in tables.random_list(spark, 70_000, 5).orderBy("pos").collect()]
+    few = v[:5000]
+    assert vs.decode(vs.encode(few)) == few == interpolative.decode(interpolative.encode(few))
+
+
+def test_long_lists_are_coded_in_linear_time():
+    long = list(range(1, 3_000_000, 3))
+    began = time.time()
+    assert interpolative.decode(interpolative.encode(long)) == long and vs.decode(vs.encode(long)) == long
+    assert time.time() - began < 60
 
 
 def test_text_sources(spark, tmp_path):
@@ -102,7 +205,7 @@ def test_text_sources(spark, tmp_path):
 def test_stream_of_changes(spark, tmp_path):
     path, feed = str(tmp_path / "doclens"), str(tmp_path / "feed")
     spark.createDataFrame([(1, 5), (2, 6)], "did long, len long").write.parquet(changes.version(path, 0))
-    for rows in ([(1, None), (3, 7)], [(2, 9), (4, None)]):
+    for rows in ([(1, 8, 1), (1, None, 2), (3, 7, 1)], [(2, None, 1), (2, 9, 2), (4, None, 1)]):
         spark.createDataFrame(rows, changes.CHANGES).coalesce(1).write.mode("append").parquet(feed)
         q = changes.start(spark, feed, path, str(tmp_path / "state"))
         q.awaitTermination()
