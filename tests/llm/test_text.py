@@ -1,7 +1,9 @@
 """HTML extraction, decontamination, mixing and the pipeline."""
 
 import random
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -53,6 +55,107 @@ def test_layout_wrappers_keep_their_article():
     assert htmltext.main_text(inside) == "One.\n\nTwo."
 
 
+class Plain(HTMLParser):
+    """Text of article by the standard parser: what the query must give on pages that mark it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.text, self.blocks = 0, 0, [], []
+
+    def end(self):
+        t = " ".join("".join(self.text).split())
+        self.text = []
+        if t:
+            self.blocks.append(t)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text.append(" ")
+        elif tag not in ("b", "i", "em", "a", "span", "strong"):
+            self.end()
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "em", "a", "span", "strong"):
+            self.end()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.text.append(data)
+
+
+def test_html_of_all_pages_by_the_standard_parser(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r.page_id: r.text for r in queries.op7_html_text(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        p = Plain()
+        p.feed(r.html)
+        p.end()
+        assert got[r.page_id] == "\n\n".join(p.blocks)
+
+
+def test_unmarked_pages_lose_their_menus():
+    """No listed names: lengths alone decide."""
+    texts = [" ".join(f"Sentence {i} of paragraph {k} has some words." for i in range(4)) for k in range(4)]
+    body = f"<h2>Headline</h2><p>{texts[0]}</p><p>Short one.</p><ul><li>one</li><li>two</li></ul><p>{texts[1]}</p><p>{texts[2]}</p><p>The end.</p>"
+    want = "\n\n".join(["Headline", texts[0], "Short one.", "one", "two", texts[1], texts[2], "The end."])
+    menu = "<ul><li>Home</li><li>News</li><li>Contact</li></ul>"
+    links = "".join(f'<li><a href="/{i}">A rather long name of another page of this site, number {i}</a></li>' for i in range(9))
+    for top in (f"<div class='top'>{menu}</div>", f"<div><ul>{links}</ul></div>", f"<table><tr><td>{menu}</td></tr></table>"):
+        for bottom in ("<div class='bottom'>Copyright", f"<div><ul>{links}</ul></div>", "<div>Imprint</div><div>Terms</div><div>Privacy</div><div>All rights reserved</div>"):
+            assert htmltext.main_text(f"<body>{top}<div>{body}</div>{bottom}</body>") == want
+    assert htmltext.main_text("<form id=f><div>" + body + "</div></form>") == want
+
+
+def test_surges_and_dives_by_brute_force():
+    """Lines kept lie within WINDOW lines of a long one, and every long line of the largest stretch is kept."""
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(1, 40)
+        size = np.array([rng.choice([0, 3, 10, 10, 80, 300]) for _ in range(n)])
+        whole = size + np.array([rng.choice([0, 0, 20]) for _ in range(n)]) + 1
+        box = np.array([rng.randrange(4) for _ in range(n)])
+        keep = htmltext.distribution(size, whole, box, np.zeros(n, bool))
+        if not size.any():
+            continue
+        long = min(htmltext.LONG, size.max() / 4)
+        on = [any(sum(size[max(0, j) : j + 3]) >= long for j in (i - 2, i) if j + 3 > 0) for i in range(n)]
+        runs, start = [], None
+        for i, o in enumerate([*on, False]):
+            if o and start is None:
+                start = i
+            elif not o and start is not None:
+                runs.append((start, i))
+                start = None
+        assert not any(k and not o for k, o in zip(keep, on, strict=True))
+        a, b = max(runs, key=lambda r: sum(size[r[0] : r[1]]))
+        assert all(keep[i] for i in range(a, b) if size[i] >= long)
+
+
+def test_odd_markup_loses_no_text():
+    article = "<article>{}</article>".format
+    assert htmltext.main_text(article("<p don't>He said it's fine</p><p>Next.</p>")) == "He said it's fine\n\nNext."
+    assert htmltext.main_text(article("<p>One.</p><section id='related-work'><h2>Related work</h2><p>Two.</p></section>")) == "One.\n\nRelated work\n\nTwo."
+    assert htmltext.main_text(article('<p title="a > b">One.</p><p>1 < 2 and <b>3</b> > 2</p>')) == "One.\n\n1 < 2 and 3 > 2"
+    assert htmltext.main_text(article("<header><h1>Own</h1></header><p>Text <button>Like</button> goes on</p><article class='comment'><p>Nice</p></article>")) == "Own\n\nText goes on"
+    assert htmltext.main_text(article("<p>a<div class='related-posts'><p>b</p></div><p>c <i>d</p><p>e</i></p>")) == "a\n\nc d\n\ne"
+    assert htmltext.main_text("<p>x <y") == "x <y"
+    assert htmltext.main_text("<head><meta charset=utf-8><title>t</title><p>No end of head") == "No end of head"
+
+
+@pytest.mark.parametrize("part", ['<a href="x ', "<a href='", "<div>", "</div>", "<!-", "<", "<p class=", "<b><i>", "<div class=ad><article>", "<script", "&#", '="', "<nav>", "</p><p>x", "<script></script "])
+def test_broken_markup_takes_linear_time(part):
+    began = time.time()
+    htmltext.main_text(part * (1_000_000 // len(part)))
+    htmltext.main_text(f"<p {part * (300_000 // len(part))}>x</p>")
+    assert time.time() - began < 12
+
+
 def test_decontamination(spark):
     items = [(i, data.words(9000 + i, 20 + 5 * i, 100_000)) for i in range(12)]
     rng = random.Random(5)
