@@ -3,9 +3,9 @@
 Words (lower-cased in ASCII and Latin-1, without punctuation at their ends) are weighted by
 IDF over all documents.  A distributed randomised SVD of the TF-IDF passages of
 the documents and of the benchmark gives a latent space: each partition adds up
-``A'(A omega)`` for its passages, the sums are added, and an orthonormal basis
-of the total and a small exact SVD of the projected benchmark follow on the
-driver.  Only words of the benchmark have coordinates; the others count in the
+``A'(A omega)`` for its passages, the sums are added, and the driver takes the
+largest singular values of ``A`` and their vectors from this sketch in one pass
+(Nystroem; the sketch has ``EXTRA`` columns more than are kept).  Only words of the benchmark have coordinates; the others count in the
 length of a passage.  Windows of 16, 32, ... words over every whole document
 (of 8 too for items of fewer than ``FINE``) are compared with all items by
 cosine in blocks, whatever else they hold.  Left out are only the windows around
@@ -38,6 +38,7 @@ from . import packed
 from .session import bounded_batches, partitions
 
 RANK = 224
+EXTRA = 32  # columns of the sketch beyond the rank
 BLOCK_BYTES = 1 << 20
 PASSAGE = 32
 LEAST_WINDOW = 8  # they double up to the longest item
@@ -386,6 +387,53 @@ class Model:
         return best
 
 
+class Weighted:
+    """TF-IDF of the items, of length 1, as a sparse matrix (items by words)."""
+
+    def __init__(self, items: Items, idf: np.ndarray):
+        self.count, self.size = len(items.texts), len(idf)
+        row = np.repeat(np.arange(self.count), [len(t) for t in items.texts])
+        key = np.searchsorted(items.keys, np.concatenate(items.texts))
+        code, n = np.unique(row * self.size + key, return_counts=True)
+        self.row, self.key = np.divmod(code, self.size)
+        weight = n * idf[self.key]
+        norm = np.sqrt(np.bincount(self.row, weight * weight, minlength=self.count))
+        self.weight = (weight / norm[self.row]).astype(np.float32)[:, None]
+
+    @staticmethod
+    def _added(rows: int, to: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums of the values by row; to is in order."""
+        out = np.zeros((rows, values.shape[1]), np.float32)
+        if len(to):
+            cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            out[to[cut]] = np.add.reduceat(values, cut, axis=0)
+        return out
+
+    def times(self, dense: np.ndarray) -> np.ndarray:
+        return self._added(self.count, self.row, dense[self.key] * self.weight)
+
+    def back(self, dense: np.ndarray) -> np.ndarray:
+        """The transposed matrix times a dense one."""
+        order = np.argsort(self.key, kind="stable")
+        return self._added(self.size, self.key[order], dense[self.row[order]] * self.weight[order])
+
+
+def singular_vectors(y: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors of A with the largest singular values, from the sketch y = A'A omega.
+
+    Nystroem's approximation of A'A, shifted a little to be safely positive definite.
+    """
+    y, omega = y.astype(np.float64), omega.astype(np.float64)
+    shift = 1e-6 * np.linalg.norm(y)  # the sketch is in single precision
+    moved = y + shift * omega
+    core = omega.T @ moved
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    ok = values > shift / 2
+    half = moved @ (turn[:, ok] / np.sqrt(values[ok]))
+    left, size, _ = np.linalg.svd(half, full_matrices=False)
+    return left[:, :rank][:, (size * size - shift > 1e-3 * shift)[:rank]]
+
+
 def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
     """IDF weights and latent space from all documents and one block of the benchmark."""
     size = len(items.keys)
@@ -411,8 +459,7 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
     count = df[-1] + len(items.ids)
     idf = np.log((count + 1) / (df[:-1] + 1)) + 0.1
     rare = float(np.log(count + 1) + 0.1)
-    rank = min(rank, size)
-    omega = np.random.default_rng(11).standard_normal((size, rank)).astype(np.float32)
+    omega = np.linalg.qr(np.random.default_rng(11).standard_normal((size, min(rank + EXTRA, size))))[0].astype(np.float32)
     sent = spark.sparkContext.broadcast((items.keys, idf, rare, omega))
 
     def sketch(batches):
@@ -426,18 +473,13 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
         return total if total.any() else None
 
     total = packed.summed(texts.mapInArrow(_partial(sketch), "part long, vec binary"), n_parts, fan_in=8, kind=np.float32)
-    own = np.zeros((len(items.texts), size), np.float32)
-    for i, t in enumerate(items.texts):
-        np.add.at(own[i], np.searchsorted(items.keys, t), idf[np.searchsorted(items.keys, t)])
-    own /= np.maximum(np.sqrt((own * own).sum(1, keepdims=True)), 1e-9)
-    mine = own.T @ (own @ omega)
+    own = Weighted(items, idf)
+    mine = own.back(own.times(omega))
     y = mine * (ITEM_WEIGHT / max(np.linalg.norm(mine), 1e-9))
     if total is not None:
         y = y + (total / max(np.linalg.norm(total), 1e-9)).reshape(omega.shape)
-    q, _ = np.linalg.qr(y)
-    _, _, turn = np.linalg.svd(own @ q, full_matrices=False)
-    basis = (q @ turn.T).astype(np.float32)
-    vectors = own @ basis
+    basis = singular_vectors(y, omega, rank).astype(np.float32)
+    vectors = own.times(basis)
     vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-9)
     return Model(items, idf, rare, basis, vectors.astype(np.float32))
 

@@ -42,6 +42,13 @@ LETTER[65:91] = LETTER[97:123] = True
 LETTER[0xC3:] = True
 
 
+def letters(buf: np.ndarray) -> np.ndarray:
+    """Whether a byte is, or begins, a letter (or is one of the other signs beyond Latin-1)."""
+    out = LETTER[buf]
+    out[:-1] |= (buf[:-1] == 0xC2) & np.isin(buf[1:], (0xAA, 0xB5, 0xBA))
+    return out
+
+
 def word_slots(buf: np.ndarray, off: np.ndarray):
     """Features of the distinct words of a slice.
 
@@ -52,8 +59,8 @@ def word_slots(buf: np.ndarray, off: np.ndarray):
     start, end, doc = K.word_spans(buf, off)
     h = K.Hasher(buf)
     _, first, of = np.unique(h(start, end), return_index=True, return_inverse=True)
-    letters = np.concatenate([[0], np.cumsum(LETTER[buf])])
-    has = letters[end] > letters[start]
+    sums = np.concatenate([[0], np.cumsum(letters(buf))])
+    has = sums[end] > sums[start]
     s, e = start[first], end[first]
     n = np.arange(len(s))
     owner, slot = [n], [h(s, e, 1)]

@@ -32,6 +32,7 @@ BLOCK = 16
 GOLDEN = 0.6180339887498949
 TURN = 1 << 20  # slots whose points are found from one start, so that they stay exact
 CHUNK = 1 << 16
+BUCKET = 1 << 16  # documents whose places are summed up together
 CELLS = 4096  # equal parts of [0, 1) that each know the bounds in them
 UNITS = 10_000  # of a word: cumulative targets are sums of whole numbers, the same in any order
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,8 +82,14 @@ def schedule(goals: DataFrame) -> DataFrame:
 
 
 def laid_out(sizes: DataFrame) -> DataFrame:
-    """Adds start: where a document begins when its source is laid end to end."""
-    keyed = sizes.withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("shuffled", 1, 2))
+    """Adds start: where a document begins when its source is laid end to end.
+
+    The order is that of the MD5; a bucket is a prefix of it, as long as makes buckets of about BUCKET rows.
+    """
+    digits, rows = 2, sizes.count()
+    while rows > BUCKET * 16**digits:
+        digits += 1
+    keyed = sizes.withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("shuffled", 1, digits))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -1,8 +1,9 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-A text becomes TF-IDF weights of its byte-class pairs (letters fall into a few
-classes, every punctuation mark is its own) and of bins of a few measures:
-words repeated at once, distinct words, word length, text length.  A singular
+A text becomes TF-IDF weights of its words (lower-cased, hashed to ``TERMS``
+slots), of its byte-class pairs (letters fall into a few classes, every
+punctuation mark is its own) and of bins of a few measures: words repeated at
+once, distinct words, word length, text length.  A singular
 value decomposition of a bounded labelled sample (``MAX_LABELLED`` rows by hash
 of doc_id) gives ``RANK`` latent dimensions.  The labelled vectors (at most
 ``MAX_LABELLED * RANK`` numbers, 2 MB) are broadcast; exact cosine products are
@@ -35,6 +36,8 @@ THRESHOLD = 0.7
 BINS = 8
 MEASURES = 6
 BIN_WEIGHT = 0.35
+TERMS = 1024
+TERM_WEIGHT = 0.5
 BLOCK = 512
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -56,11 +59,12 @@ def _classes() -> np.ndarray:
 
 CLASS = _classes()
 CLASSES = int(CLASS.max()) + 1
-WIDTH = CLASSES * CLASSES + BINS * MEASURES
+SHAPES = CLASSES * CLASSES + BINS * MEASURES
+WIDTH = SHAPES + TERMS
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(texts, WIDTH): roots of the shares of pairs, and one-hot bins of the measures."""
+    """(texts, WIDTH): roots of the shares of pairs, one-hot bins of the measures, roots of the shares of words."""
     n = len(off) - 1
     size = np.diff(off)
     c = CLASS[buf]
@@ -84,6 +88,8 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     length = np.bincount(of, end - start, minlength=n) / w
     upper = np.bincount(doc, c == 4, minlength=n) / np.maximum(size, 1)
     odd = np.bincount(doc, (c == 3) | (c > 8), minlength=n) / np.maximum(size, 1)
+    terms = np.bincount(of * TERMS + (h >> np.uint64(54)).astype(np.int64), minlength=n * TERMS).reshape(n, -1)
+    x[:, SHAPES:] = TERM_WEIGHT * np.sqrt(terms / w[:, None])
     measures = (
         np.minimum(again * 20, BINS - 1),
         np.minimum(distinct * BINS, BINS - 1),

@@ -148,6 +148,21 @@ def test_quality_held_out(spark, docs, labels):
     assert quality.quality_query(data.empty(spark), labels).count() == 0
 
 
+def test_quality_votes_by_brute_force():
+    """Scores are the similarity-weighted votes of the nearest labelled vectors, and words count."""
+    texts = [data.words(i, 30 + i, 200) for i in range(60)]
+    y = np.arange(60) % 3 > 0
+    m = quality.train(pa.array(texts), y)
+    asked = [data.words(900 + i, 50, 200) for i in range(20)] + [None, ""]
+    v = np.concatenate([m.latent(quality.features(buf, off)) for _, _, buf, off in quality.K.slices(pa.array(asked))])
+    for got, x in zip(m.score(pa.array(asked)), v, strict=True):
+        near = sorted(((float(x @ z), bool(k)) for z, k in zip(m.vectors, y, strict=True)), key=lambda p: -p[0])[: quality.NEIGHBOURS]
+        w = [math.exp(quality.SHARPNESS * (s - near[0][0])) for s, _ in near]
+        assert abs(got - sum(a for a, (_, k) in zip(w, near, strict=True) if k) / sum(w)) < 1e-3
+    both = quality.features(*next(iter(quality.K.slices(pa.array(["abcd efgh", "abcf efgk"]))))[2:])
+    assert (both[0, : quality.SHAPES] == both[1, : quality.SHAPES]).all() and (both[0] != both[1]).any()
+
+
 def test_language(spark, docs):
     rows = language.language_query(docs).collect()
     langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
@@ -159,6 +174,7 @@ def test_language(spark, docs):
     mixed = "Le êeaux de la une que réeau pour les dans " * 3 + "the of and that thing with there for are " * 3
     found = [w for _, w in model.words(mixed)]
     assert found[5] == "fr" and found[-5] == "en"
+    assert (np.array(model.predict(pa.array(["ª", "µ 12", "º"]))[0]) != "und").all()
     names, score = model.predict(pa.array([None, "", "123 !!!", "—…", "the and of"]))
     assert names[:4] == ["und"] * 4 and score[:4].tolist() == [0] * 4 and names[4] == "en"
 

@@ -248,6 +248,42 @@ def test_decontamination_finds_items_longer_than_512_words():
     assert planted(texts, docs, [docs[0] + " " + texts[0] + " " + docs[1], docs[2]]) == {(0, 0)}
 
 
+def test_singular_vectors_match_an_exact_decomposition():
+    rng = np.random.default_rng(5)
+    a = (rng.standard_normal((300, 40)) * 0.7 ** np.arange(40)) @ np.linalg.qr(rng.standard_normal((400, 40)))[0].T
+    omega = np.linalg.qr(rng.standard_normal((400, 42)))[0]
+    got = decontamination.singular_vectors(a.T @ (a @ omega), omega, 10)
+    want = np.linalg.svd(a)[2][:10].T
+    assert got.shape == (400, 10) and np.linalg.norm(got.T @ got - np.eye(10)) < 1e-6
+    assert np.allclose(np.abs((got * want).sum(0)), 1, atol=1e-3)
+
+
+def test_decontamination_recall_against_all_windows(spark):
+    """Of all that passes the check in some window of a document, found by comparing every item with every document."""
+    rng = random.Random(12)
+    texts = [data.words(100 + i, n, 3000) for i, n in enumerate((8, 9, 12, 20, 31, 33, 60, 120, 500, 3000))]
+    rows = []
+    for i in range(80):
+        w = texts[i % 10].split()
+        for k in rng.sample(range(len(w)), len(w) * (i // 10) // 20):
+            w[k] = f"other{rng.randrange(10**5)}"
+        rows.append((i, " ".join([data.words(i, 150, 3000), *w, data.words(i + 50, 90, 3000)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()}
+    want = set()
+    for i, t in rows:
+        h = t.split()
+        for k, text in enumerate(texts):
+            item = text.split()
+            n, answer = len(item), item[-max(3, len(item) // 5) :]
+            for at in range(0, len(h), max(1, n // 2)):  # every window of twice the item's length
+                near = h[at : at + 2 * n]
+                share = decontamination.lcs(item, near) / n
+                if share >= 0.8 or share >= 0.6 and decontamination.lcs(answer, near) >= 0.6 * len(answer):
+                    want.add((i, k))
+    assert len(want) > 60 and len(got & want) >= 0.9 * len(want)
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
