@@ -42,7 +42,7 @@ EXTRA = 32  # columns of the sketch beyond the rank
 BLOCK_BYTES = 1 << 20
 PASSAGE = 32
 LEAST_WINDOW = 8  # they double up to the longest item
-RAREST = 0.2  # of an item's words must be among its rarest words, see Rarest
+RAREST = (0.2, 0.1, 0.3)  # of an item's words must be among its rarest words, see Rarest
 FINE = 32  # items of fewer words are compared with the least windows
 SPARSE = 0.1  # passages of less coverage are nothing to the decomposition
 COSINE = 0.5
@@ -162,25 +162,54 @@ class Windows:
         used = sums[at + 1] > sums[np.maximum(at + 1 - most, 0)]  # words in live windows
         row, key, at = row[used], key[used], at[used]
         place = (np.cumsum(n) - n)[row] + (at - begin[row]) // cell
-        cells = np.zeros((int(n.sum()), scaled.shape[1]), np.float32)
-        if len(place):
-            cut = np.flatnonzero(np.r_[True, np.diff(place) > 0])
-            cells[place[cut]] = np.add.reduceat(scaled[key], cut, axis=0)
+        cells, slot = _summed(scaled, key, place, int(n.sum()))
         while True:
+            # slot: the row of each cell in cells; the first row is nothing
             first, text = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
             k = np.arange(len(text)) - first[text]
             more = k + 1 < n[text]
             at = begin[text] + k * cell
-            one = np.flatnonzero((more | (k == 0)) & live[2 * cell][at])
-            v = cells[one]
-            v[more[one]] += cells[one[more[one]] + 1]
-            yield 2 * cell, text[one], at[one], v
+            beside = np.where(more, np.r_[slot[1:], 0], 0) if len(slot) else slot
+            one = np.flatnonzero((more | (k == 0)) & live[2 * cell][at] & ((slot > 0) | (beside > 0)))
+            yield 2 * cell, text[one], at[one], _added(cells, slot[one], beside[one])
             if 2 * cell >= most:
                 break
             even = np.flatnonzero(k % 2 == 0)
-            pair = cells[even]
-            pair[more[even]] += cells[even[more[even]] + 1]
-            cells, n, cell = pair, -(-n // 2), 2 * cell
+            a, b = slot[even], beside[even]
+            full = (a > 0) | (b > 0)
+            cells = np.concatenate([cells[:1], _added(cells, a[full], b[full])])
+            slot = np.where(full, np.cumsum(full), 0)
+            n, cell = -(-n // 2), 2 * cell
+
+
+def _added(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = rows.take(a, axis=0)
+    some = np.flatnonzero(b)
+    if 2 * len(some) > len(b):
+        out += rows.take(b, axis=0)
+    else:
+        out[some] += rows.take(b[some], axis=0)
+    return out
+
+
+def _summed(scaled: np.ndarray, key: np.ndarray, place: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows scaled[key] of each place (places in order), and the row of every place; row 0 is zero.
+
+    Places are taken by their number of keys, largest first, so the j-th keys are added in one go.
+    """
+    slot = np.zeros(places, np.int64)
+    cut = np.flatnonzero(np.diff(place, prepend=-1)) if len(place) else place
+    size = np.diff(np.r_[cut, len(place)])
+    order = np.argsort(-size, kind="stable")
+    cut, size = cut[order], size[order]
+    out = np.zeros((len(cut) + 1, scaled.shape[1]), np.float32)
+    if len(cut):
+        slot[place[cut]] = np.arange(1, len(cut) + 1)
+        scaled.take(key[cut], axis=0, out=out[1:])
+        for j in range(1, int(size[0])):
+            m = int(np.searchsorted(-size, -j, "left"))  # places of more than j keys
+            out[1 : m + 1] += scaled.take(key[cut[:m] + j], axis=0)
+    return out, slot
 
 
 class Short:
@@ -225,9 +254,9 @@ class Rarest:
     rarest ones at least m are then there, whatever the others are.
     """
 
-    def __init__(self, items: Items, idf: np.ndarray):
+    def __init__(self, items: Items, idf: np.ndarray, share: float):
         self.length = np.array([len(t) for t in items.texts])
-        self.least = np.ceil(RAREST * self.length - 1e-9).astype(np.int64)  # m of each item
+        self.least = np.ceil(share * self.length - 1e-9).astype(np.int64)  # m of each item
         count = self.length - np.ceil(MOST * self.length - 1e-9).astype(np.int64) + self.least
         key, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, t in enumerate(items.texts):
@@ -310,7 +339,8 @@ class Model:
         most = LEAST_WINDOW
         while most < longest:
             most *= 2
-        rarest, short = Rarest(self.items, self.idf), Short(self.items)
+        every_rarest = [Rarest(self.items, self.idf, x) for x in RAREST]
+        rarest, short = every_rarest[0], Short(self.items)
         scaled = self.basis * self.idf[:, None].astype(np.float32)
         some = np.flatnonzero((length > 0) & (length < FINE))
         every = np.flatnonzero(length > 0)
@@ -319,13 +349,14 @@ class Model:
             if not len(h):
                 continue
             w = Windows(look, self.idf, self.rare, h, doc)
-            places = rarest.places(w)
-            runs = rarest.runs(w, places)
-            live: dict[int, np.ndarray] = {}
-            size = LEAST_WINDOW
-            while size <= most:
-                live[size] = rarest.live(runs, size, len(h))
-                size *= 2
+            places, live = rarest.places(w), {}
+            for r in every_rarest:
+                runs = r.runs(w, places if r is rarest else r.places(w))
+                size = LEAST_WINDOW
+                while size <= most:
+                    there = r.live(runs, size, len(h))
+                    live[size] = live[size] & there if size in live else there
+                    size *= 2
             near: dict[tuple[int, int], list] = {}
             for d, t, b, e in short.found(h, doc):
                 near[d, t] = [(1.0, b, e)]
