@@ -63,12 +63,18 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, doc = K.word_spans(low, off)
     if not len(start):
         return np.zeros(0, np.uint64), doc
-    sign = PUNCTUATION[low]
-    for _ in range(4):
-        end = end - ((end > start) & sign[end - 1])
-        start = start + ((start < end) & sign[np.minimum(start, len(low) - 1)])
-    ok = end > start
-    return K.Hasher(low)(start[ok], end[ok]), doc[ok]
+    last, first = np.flatnonzero(PUNCTUATION[low[end - 1]]), np.flatnonzero(PUNCTUATION[low[start]])
+    if len(last) or len(first):
+        for _ in range(4):
+            end[last] -= 1
+            last = last[end[last] > start[last]]
+            last = last[PUNCTUATION[low[end[last] - 1]]]
+            first = first[start[first] < end[first]]
+            first = first[PUNCTUATION[low[start[first]]]]
+            start[first] += 1
+        ok = end > start
+        start, end, doc = start[ok], end[ok], doc[ok]
+    return K.Hasher(low)(start, end), doc
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -205,10 +211,12 @@ def _summed(scaled: np.ndarray, key: np.ndarray, place: np.ndarray, places: int)
     out = np.zeros((len(cut) + 1, scaled.shape[1]), np.float32)
     if len(cut):
         slot[place[cut]] = np.arange(1, len(cut) + 1)
-        scaled.take(key[cut], axis=0, out=out[1:])
+        scaled.take(key[cut], axis=0, out=out[1:], mode="clip")
+        held = np.empty((int((size > 1).sum()), scaled.shape[1]), np.float32)
         for j in range(1, int(size[0])):
             m = int(np.searchsorted(-size, -j, "left"))  # places of more than j keys
-            out[1 : m + 1] += scaled.take(key[cut[:m] + j], axis=0)
+            scaled.take(key[cut[:m] + j], axis=0, out=held[:m], mode="clip")
+            out[1 : m + 1] += held[:m]
     return out, slot
 
 
@@ -330,6 +338,7 @@ class Model:
     rare: float
     basis: np.ndarray
     vectors: np.ndarray
+    ready: tuple | None = None
 
     def leaks(self, column: pa.Array):
         """(row, item, cosine, lcs, share, answer share) of the items found."""
@@ -339,9 +348,10 @@ class Model:
         most = LEAST_WINDOW
         while most < longest:
             most *= 2
-        every_rarest = [Rarest(self.items, self.idf, x) for x in RAREST]
-        rarest, short = every_rarest[0], Short(self.items)
-        scaled = self.basis * self.idf[:, None].astype(np.float32)
+        if self.ready is None:  # once a worker
+            self.ready = [Rarest(self.items, self.idf, x) for x in RAREST], Short(self.items), self.basis * self.idf[:, None].astype(np.float32)
+        every_rarest, short, scaled = self.ready
+        rarest = every_rarest[0]
         some = np.flatnonzero((length > 0) & (length < FINE))
         every = np.flatnonzero(length > 0)
         for a, _, buf, off in K.slices(column, SLICE):

@@ -107,6 +107,8 @@ def test_toxicity_held_out(spark):
     held = [(got[r.doc_id], r.toxic) for r in labels.collect() if crc(r.doc_id, 3) == 0]
     right = sum(g.is_toxic == (t == 1) for g, t in held)
     assert right / len(held) > 0.95
+    hits = sum(g.is_toxic and t == 1 for g, t in held)
+    assert hits >= 0.9 * sum(t == 1 for _, t in held) and hits >= 0.9 * sum(g.is_toxic for g, _ in held)
     assert all(0 <= g.severity <= 3 and 0 <= g.grade <= 3 for g in got.values())
     assert (np.diff(model.thetas) > 0).all()
 
@@ -125,6 +127,37 @@ def test_toxicity_grades_in_order():
     assert severity[0] < severity[1] < severity[2] < severity[3] and severity[4] == severity[5] == severity[0]
 
 
+def test_toxicity_by_brute_force(docs, labels):
+    """Severity of every document, word by word from the model's weights."""
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    hashed: dict = {}
+
+    def features(word: bytes):
+        if word not in hashed:
+            buf = np.frombuffer(word, np.uint8)
+            h = toxicity.K.Hasher(buf)
+            ends = [(len(word), 1)] + [(n, n + 1) for n in toxicity.PREFIXES if len(word) >= n]
+            hashed[word] = [int(h(np.array([0]), np.array([e]), tag)[0]) for e, tag in ends]
+        return hashed[word]
+
+    marks = toxicity.PUNCTUATION.tobytes()
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.limit(150).collect():
+        words = toxicity.K.folded(np.frombuffer((r.text or "").encode(), np.uint8)).tobytes()
+        count = Counter()
+        for w in re.split(rb"[\x20\x09-\x0D]+", words):
+            for _ in range(3):
+                w = w[:-1] if len(w) > 1 and w[-1:] in [marks[i : i + 1] for i in range(len(marks))] else w
+            for _ in range(2):
+                w = w[1:] if len(w) > 1 and w[:1] in [marks[i : i + 1] for i in range(len(marks))] else w
+            if w:
+                count.update(f for f in features(w) if f in weight)
+        x = sum(weight[f] * math.log1p(n) for f, n in count.items())
+        above = [1 / (1 + math.exp(t - x)) for t in model.thetas]
+        assert math.isclose(got[r.doc_id].severity, sum(above), abs_tol=1e-6) and got[r.doc_id].grade == sum(a > 0.5 for a in above)
+
+
 def test_toxicity_odd_cases(spark, labels):
     rows = toxicity.toxicity(data.documents(spark), labels).collect()
     assert len(rows) == len(data.texts())
@@ -179,6 +212,33 @@ def test_language(spark, docs):
     assert names[:4] == ["und"] * 4 and score[:4].tolist() == [0] * 4 and names[4] == "en"
 
 
+def test_language_by_brute_force(docs):
+    """Predictions of short texts, by the sum over all labellings of their words."""
+    model = language.fit(docs, ~(sample.remainder("doc_id", 5) == 0), 200)
+    k, weights = len(model.labels), model.weights.astype(float)
+
+    def scores(word: bytes) -> np.ndarray:
+        h = language.K.Hasher(np.frombuffer(word, np.uint8))
+        spans = [(0, len(word), 1)] + [x for n in language.AFFIXES if len(word) >= n for x in ((0, n, 2 * n), (len(word) - n, len(word), 2 * n + 1))]
+        spans += [(i, i + 3, 20) for i in range(len(word) - 2)]
+        return sum(weights[int(h(np.array([a]), np.array([b]), tag)[0]) >> 47] for a, b, tag in spans)
+
+    texts = ["the and of", "le êeaux que", "der und 12 die", "x", "for the que de", "Ñ los el"]
+    names, share = model.predict(pa.array(texts))
+    for text, name, got in zip(texts, names, share, strict=True):
+        words = text.encode().split()
+        emit = [scores(w) for w in words]
+        by, total = np.zeros((len(words), k)), 0.0
+        for path in np.ndindex(*[k] * len(words)):
+            w = math.exp(model.start[path[0]] + sum(e[s] for e, s in zip(emit, path)) + sum(model.moves[a, b] for a, b in zip(path, path[1:])) - sum(e.max() for e in emit))
+            total += w
+            for i, s_ in enumerate(path):
+                by[i, s_] += w
+        has = [any(map(str.isalpha, w.decode())) for w in words]
+        want = (by[has] / total).sum(0)
+        assert name == model.labels[int(want.argmax())] and math.isclose(got, want.max() / want.sum(), abs_tol=1e-5)
+
+
 def test_language_odd_cases(spark):
     rows = language.language_query(data.documents(spark)).collect()
     assert len(rows) == len(data.texts())
@@ -217,3 +277,21 @@ def test_language_model_is_a_distribution_and_exact(spark):
 def test_language_model_beats_its_base(docs):
     rows = hmm.lm_query(docs).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.97
+
+
+def test_trained_states_gain_over_one_state(docs):
+    """Held-out likelihood of the classes under the trained chain and under their shares alone."""
+    held = sample.remainder("doc_id", 5) == 1
+    model = hmm.train(docs, ~held)
+    seen = np.full(hmm.CLASSES, 1e-3 * hmm.STATES)
+    for r in docs.where(~held).select("text").toLocalIterator():
+        buf = np.frombuffer((r.text or "").encode(), np.uint8)
+        seen += np.bincount(hmm.group_of(hmm.tokens(buf, np.array([0, len(buf)]))[0]), minlength=hmm.CLASSES)
+    chain_, shares = 0.0, 0.0
+    for r in docs.where(held).select("text").toLocalIterator():
+        buf = np.frombuffer((r.text or "").encode(), np.uint8)
+        keys, sizes = hmm.tokens(buf, np.array([0, len(buf)]))
+        g = hmm.group_of(keys)
+        chain_ += model.log10(g, sizes)[0]
+        shares += np.log10(seen[g] / seen.sum()).sum()
+    assert chain_ > shares * 0.97

@@ -366,5 +366,34 @@ def test_pipeline_against_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "jaccard_join", "decontamination", "mixing"]
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, different texts of one doc_id, clashing columns; and no rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = data.words(1, 60), data.words(2, 60), data.words(3, 300)
+    near = [data.edited(c, k, 3) for k in (2, 3)]
+    rows = [r for r in data.texts() if r[0] is None or r[0] >= 100] + [(3, a), (5, data.edited(a, 1, 1)), (5, b), (9, c), (9, near[0]), (10, near[1]), (3, a), (None, None), (None, None)]
+    folder = "/root/testdata/sf0.001"
+    for name, docs in (("some", data.documents(spark, rows)), ("none", data.empty(spark))):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{at}/{t}.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for step, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, at)
+            assert docs.columns == data.SCHEMA.replace(",", "").split()[::2]
+        kept = Counter((r.doc_id, r.text) for r in docs.collect())
+        got = corpus_pipeline.run(spark, at).collect()
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in kept.elements())
+        if name == "none":
+            assert not got
+            continue
+        assert kept[3, a] == 1 and kept[5, b] == 1 and (5, data.edited(a, 1, 1)) not in kept
+        assert sum(kept[x] for x in ((9, c), (9, near[0]), (10, near[1]))) == 1
+        assert sum(n for (_, t), n in kept.items() if not t) == 1  # of null and empty texts the one with the largest doc_id
+        assert kept[None, "alone without id"] == 1 and kept[120, "null id twin"] == 1 and kept[None, "null id twin"] == 0
+        assert kept[110, data.words(9, 20_000)] == 1 and all(0 <= r.taken <= 3 * r.size for r in got)
+
+
 def test_queries_are_registered():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
