@@ -133,15 +133,15 @@ class Model:
 def train(column: pa.Array, labels: np.ndarray) -> Model:
     if not len(labels):
         return Model(np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    x = np.concatenate([features(buf, off) for _, _, buf, off in K.slices(column)])
+    x = np.empty((len(labels), WIDTH), np.float32)  # one copy of the sample, changed in place
+    for a, b, buf, off in K.slices(column):
+        x[a:b] = features(buf, off)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.3)
-    y = x * idf
-    y /= np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-9)
-    values, vectors = np.linalg.eigh(y.T @ y)
-    axes = np.ascontiguousarray(vectors[:, ::-1][:, :RANK]).astype(np.float32)
-    model = Model(idf, axes, np.zeros((0, 1), np.float32), labels.astype(np.float64))
-    model.vectors = model.latent(x)
-    return model
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    axes = np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, : -RANK - 1 : -1]).astype(np.float32)
+    v = x @ axes
+    return Model(idf, axes, v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9), labels.astype(np.float64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
