@@ -50,8 +50,10 @@ NEARLY_ALL, MOST, ANSWER = 0.8, 0.6, 0.6
 SHORT = 8
 ITEM_WEIGHT = 4.0
 SLICE = 1 << 19
+SKETCH_SLICE = 1 << 18
+PRESENT = 1 << 23  # cells of a table of documents by words
 ROWS = 512  # passages with latent vectors at once
-GROUP = 1 << 14  # words of which the windows get latent vectors at once
+GROUP = 1 << 15  # words of which the windows get latent vectors at once
 SCHEMA = "doc_id long, item_id long, cosine double, lcs long, item_words long, share double, answer_share double"
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
@@ -108,16 +110,20 @@ class Items:
 class Windows:
     """Weights and places of the words of one slice."""
 
-    def __init__(self, look: K.Lookup, idf: np.ndarray, rare: float, h: np.ndarray, doc: np.ndarray):
+    def __init__(self, look: K.Lookup, h: np.ndarray, doc: np.ndarray):
         self.at, self.key = look.hits(h)
-        weight = np.full(len(h), rare)
-        weight[self.at] = idf[self.key]
-        self.square = np.concatenate([[0], np.cumsum(weight * weight)])
-        inside = np.zeros(len(h))
-        inside[self.at] = weight[self.at] ** 2
-        self.inside = np.concatenate([[0], np.cumsum(inside)])
+        self.words = len(h)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=int(doc[-1]) + 1 if len(doc) else 0))])
-        self.weight = weight
+
+    def weigh(self, idf: np.ndarray, rare: float) -> Windows:
+        """With weights, and the running sums of their squares, of all words and of the benchmark's."""
+        self.weight = np.full(self.words, rare)
+        self.weight[self.at] = idf[self.key]
+        self.square = np.concatenate([[0], np.cumsum(self.weight * self.weight)])
+        inside = np.zeros(self.words)
+        inside[self.at] = self.weight[self.at] ** 2
+        self.inside = np.concatenate([[0], np.cumsum(inside)])
+        return self
 
     def cut(self, size: int, stride: int, coverage: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, begin and end (word numbers) of the windows with enough words of the benchmark."""
@@ -282,15 +288,15 @@ class Rarest:
         head = self.head[w.key]
         n = self.head[w.key + 1] - head
         item = self.item[np.arange(int(n.sum())) + np.repeat(head - (np.cumsum(n) - n), n)]
-        return np.sort(item * len(w.weight) + np.repeat(w.at, n))
+        return np.sort(item * w.words + np.repeat(w.at, n))
 
     def runs(self, w: Windows, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, first and last word number of runs of m such words in a text."""
-        item, at = np.divmod(places, max(1, len(w.weight)))
+        item, at = np.divmod(places, max(1, w.words))
         last = np.arange(len(item)) + self.least[item] - 1
         ok = last < len(item)
         item, at, last = item[ok], at[ok], last[ok]
-        end = places[last] - item * len(w.weight)
+        end = places[last] - item * w.words
         ok = end < w.first[np.searchsorted(w.first, at, "right")]  # also of the same item: others are a slice away
         return item[ok], at[ok], end[ok]
 
@@ -358,7 +364,7 @@ class Model:
             h, doc = words(buf, off)
             if not len(h):
                 continue
-            w = Windows(look, self.idf, self.rare, h, doc)
+            w = Windows(look, h, doc)
             places, live = rarest.places(w), {}
             for r in every_rarest:
                 runs = r.runs(w, places if r is rarest else r.places(w))
@@ -491,7 +497,12 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
             for a, b, buf, off in K.slices(batch.column(0)):
                 h, doc = words(buf, off)
                 at, key = look.hits(h)
-                total[:-1] += np.bincount(np.unique(doc[at] * np.int64(size) + key) % size, minlength=size)
+                if (b - a) * size <= PRESENT:
+                    present = np.zeros((b - a, size), bool)
+                    present[doc[at], key] = True
+                    total[:-1] += present.sum(0)
+                else:  # very many short texts
+                    total[:-1] += np.bincount(np.unique(doc[at] * np.int64(size) + key) % size, minlength=size)
                 total[-1] += b - a
         return total
 
@@ -507,10 +518,10 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
         keys, idf, rare, omega = sent.value
         look, total = K.Lookup(keys), np.zeros_like(omega)
         for batch in batches:
-            for _, _, buf, off in K.slices(batch.column(0), SLICE):
+            for _, _, buf, off in K.slices(batch.column(0), SKETCH_SLICE):
                 h, doc = words(buf, off)
                 if len(h):
-                    _sketch(Windows(look, idf, rare, h, doc), omega, total)
+                    _sketch(Windows(look, h, doc).weigh(idf, rare), omega, total)
         return total if total.any() else None
 
     total = packed.summed(texts.mapInArrow(_partial(sketch), "part long, vec binary"), n_parts, fan_in=8, kind=np.float32)
