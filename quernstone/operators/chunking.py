@@ -207,8 +207,32 @@ def did_runs(postings: DataFrame) -> DataFrame:
     return postings.withColumn("island", island).groupBy("term", "island").agg(F.min("did").alias("first_did"), F.count("*").alias("n")).drop("island")
 
 
-def skip_index(postings: DataFrame) -> DataFrame:
-    """Sum of the steps of both halves of every list (the first level's pointers)."""
-    w = Window.partitionBy("term").orderBy("did")
-    rows = postings.select("term", F.row_number().over(w).alias("rn"), F.coalesce(F.col("did") - F.lag("did").over(w), F.lit(0)).alias("step"), F.count("*").over(Window.partitionBy("term")).alias("n"))
-    return rows.groupBy("term", F.when(F.col("rn") <= F.expr("n div 2"), 0).otherwise(1).cast("long").alias("half")).agg(F.sum("step").alias("did_offset"), F.count("*").alias("entries"))
+MOST_LEVELS = 16  # of a skip list of 32-bit dids
+
+
+def skip_index(postings: DataFrame, levels=None) -> DataFrame:
+    """term, level, begin, did_offset, entries: what every pointer of every list's skip list jumps over.
+
+    A list of n entries is halved as often as ``levels`` says (by default its skip list's number
+    of levels); both halves of a segment of two entries or more have a pointer.
+    Places in a list are found by two levels of counts (cells of dids), so a long list needs no task of its own.
+    """
+    levels = F.when(F.col("n") > 0, F.floor(F.log10("n") / 0.6)).otherwise(0) if levels is None else F.lit(levels)
+    cell = postings.select("term", "did", F.expr(f"did div {STRIDE}").alias("cell"))
+    sums = cell.groupBy("term", "cell").agg(F.count("*").alias("c"), F.max("did").alias("top"))
+    before = Window.partitionBy("term").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("term", "cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.last("top").over(before).alias("prior"), F.sum("c").over(Window.partitionBy("term")).alias("n"))
+    here = Window.partitionBy("term", "cell").orderBy("did")
+    rows = cell.select("term", "cell", "did", (F.row_number().over(here) - 1).alias("i"), F.lag("did").over(here).alias("back")).join(sums, ["term", "cell"])
+    step = F.coalesce(F.col("did") - F.coalesce("back", "prior"), F.lit(0))
+    rows = rows.select("term", "n", (F.col("base") + F.col("i")).alias("rn"), step.alias("step"), levels.alias("levels"))
+    a, b, parts = F.lit(0).cast("long"), F.col("n"), []
+    rows = rows.withColumns({"a0": a, "b0": b})
+    for k in range(1, MOST_LEVELS + 1):
+        mid = F.expr(f"(a{k - 1} + b{k - 1}) div 2")
+        low = F.col("rn") < mid
+        rows = rows.withColumns({f"a{k}": F.when(low, F.col(f"a{k - 1}")).otherwise(mid), f"b{k}": F.when(low, mid).otherwise(F.col(f"b{k - 1}"))})
+        there = (F.col("levels") >= k) & (F.col(f"b{k - 1}") - F.col(f"a{k - 1}") >= 2)
+        parts.append(F.when(there, F.struct(F.lit(k).cast("long").alias("level"), F.col(f"a{k}").alias("begin"))))
+    every = rows.select("term", "step", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("p"))
+    return every.groupBy("term", "p.level", "p.begin").agg(F.sum("step").alias("did_offset"), F.count("*").alias("entries"))

@@ -238,14 +238,16 @@ def skip_levels(spark, sf):
     return I.postings(spark, sf).groupBy("term").agg(F.count("*").alias("n")).select("term", "n", C.skip_levels(F.col("n")).alias("levels"))
 
 
-@query(
-    sql(
-        """SELECT term, CASE WHEN rn <= n // 2 THEN 0 ELSE 1 END::BIGINT AS half, sum(step)::BIGINT AS did_offset, count(*) AS entries
-    FROM (SELECT term, row_number() OVER w AS rn, coalesce(did - lag(did) OVER w, 0) AS step, count(*) OVER (PARTITION BY term) AS n FROM postings WINDOW w AS (PARTITION BY term ORDER BY did)) GROUP BY ALL""",
-        "tokens",
-        "postings",
-    )
-)
+SKIPS = """o AS MATERIALIZED (SELECT term, row_number() OVER w - 1 AS rn, coalesce(did - lag(did) OVER w, 0) AS step FROM postings WINDOW w AS (PARTITION BY term ORDER BY did)),
+    l AS (SELECT term, count(*) AS n, floor(log10(count(*)) / 0.6)::BIGINT AS levels FROM postings GROUP BY term),
+    seg AS (
+      SELECT term, 0::BIGINT AS level, 0::BIGINT AS a, n AS b, levels FROM l
+      UNION ALL
+      SELECT term, level + 1, CASE WHEN half = 0 THEN a ELSE (a + b) // 2 END, CASE WHEN half = 0 THEN (a + b) // 2 ELSE b END, levels
+      FROM seg, (VALUES (0), (1)) h(half) WHERE level < levels AND b - a >= 2)"""
+
+
+@query(sql("SELECT s.term, s.level, s.a AS begin, sum(step)::BIGINT AS did_offset, count(*) AS entries FROM seg s JOIN o ON o.term = s.term AND o.rn >= s.a AND o.rn < s.b WHERE s.level > 0 GROUP BY ALL", "tokens", "postings", extra=SKIPS))
 def skip_index(spark, sf):
     return chunking.skip_index(I.postings(spark, sf))
 

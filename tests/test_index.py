@@ -178,6 +178,22 @@ def test_value_codes_match_the_byte_codecs(spark):
             spark.range(1).select(broken).collect()
 
 
+def test_skip_index_is_that_of_the_encoder(spark, lists, postings):
+    """Every pointer's jump in the encoded skip list is a row."""
+    got = {t: sorted((r.did_offset, r.entries) for r in chunking.skip_index(postings).where(C.F.col("term") == t).collect()) for t in lists}
+    for t, m in lists.items():
+        pairs, body, pos, found = list(m.items()), chunks.encode_skips(list(m.items())), 0, []
+        while pos < len(body):
+            delta, pos = varint.get(body, pos)
+            if delta == varint.SENTINEL:
+                _, pos = varint.get(body, pos)
+                span, pos = varint.get(body, pos)
+                found.append(span)
+            else:
+                _, pos = varint.get(body, pos)
+        assert [x for x, _ in got[t]] == sorted(found) and len(found) == (0 if len(pairs) < 4 else sum(2**k for k in range(1, chunks.skip_levels(len(pairs)) + 1)))
+
+
 def test_random_list(spark):
     v = [r.v for r in tables.random_list(spark, 70_000, 5).orderBy("pos").collect()]
     steps = [b - a for a, b in zip(v, v[1:])]
