@@ -56,7 +56,7 @@ LOW_END = np.uint64(int(LOW * 2**64))
 KEYS = 3
 BLOCK = 512
 TREE_BLOCK = 4096
-SLICE = 1 << 20
+SLICE = 1 << 19
 SIZE_STEP = 1.26  # two similar sets differ in size by 1.25 at most
 SUMMARY_WORDS = 512
 SET = "doc_id long, text_hash long, n long, h1 long, h2 long, prefix binary, tokens binary"

@@ -28,6 +28,7 @@ from . import sample
 from .session import bounded_batches
 
 MAX_LABELLED = 8000
+SLICE = 1 << 19
 TRAIN_SLICE = 1 << 18  # smaller than for scoring: the driver has less memory than executors
 MAX_FEATURES = 4096
 LEAST_DOCS = 4
@@ -64,7 +65,7 @@ class Model:
     thetas: np.ndarray
     cut: float = 0.5  # a text is toxic if P(grade > 0) is above
 
-    def counts(self, column: pa.Array, limit: int = K.SLICE):
+    def counts(self, column: pa.Array, limit: int = SLICE):
         """Sparse counts (text, feature, count) and marked words for each text, slice by slice."""
         look = K.Lookup(self.keys)
         for a, b, buf, off in K.slices(column, limit):
