@@ -10,7 +10,7 @@ the trained table stays bounded.
 Training starts on a bounded sample and then makes ``ROUNDS`` passes of
 Baum-Welch over all training texts, each from end to end; expected counts are added up in each
 partition and then across partitions.  Word counts come from all training
-texts through a packed exchange: batches of texts ask for the counts of their
+texts through a packed exchange: batches of texts (of bounded bytes) ask for the counts of their
 distinct words, so a frequent word moves once for each batch.  The score is
 the exact log10 likelihood by the scaled forward recursion over whole texts.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import chain, packed, sample
 from . import kernels as K
-from .session import bounded_batches, cut, partitions
+from .session import batches, bounded_batches, cut, partitions
 
 STATES = 6
 CLASSES = 4096  # the last is the end
@@ -152,9 +152,9 @@ def lm_scores(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions(spark)
+    n = batches(docs)
     model = train(docs, ~held_out, rounds)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)).alias("batch"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", F.pmod(F.xxhash64("doc_id", "text", F.lit("batch")), F.lit(n)).alias("batch"))
 
     def ask(table: pa.Table) -> pa.Table:
         # counts of each part of the batch first, so that it is never held as tokens at once

@@ -2,7 +2,7 @@
 
 Exact, without pairs of all documents or of all members of a group.
 
-1. Batches of documents ask for the frequency of their shingles in the lower
+1. Batches of documents (of bounded bytes) ask for the frequency of their shingles in the lower
    ``LOW`` share of the hash space (a packed exchange).  In the order "rare
    ones of that share first, then the rest", two similar documents have a
    common shingle in the first ``n - ceil(0.8 n) + 1``.  A document of which
@@ -48,7 +48,7 @@ from . import packed
 from . import signature_tree as tree
 from .components import components
 from .grouped import by_group
-from .session import bounded_batches, cut, partitions
+from .session import batches, bounded_batches, cut
 
 WORDS = 5
 LOW = 0.27
@@ -343,9 +343,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, text_hash, first of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions(spark)
+    n = batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"text_hash": F.xxhash64("text"), "batch": F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n))})
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("batch")), F.lit(n)))
     by_batch = rows.groupBy("batch")
     asked = by_batch.applyInArrow(_ask(n), packed.REQUEST)
     answers = packed.answered(asked, _repeated)

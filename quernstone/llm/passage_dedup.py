@@ -5,7 +5,7 @@ gram (leftmost of equal ones), so equal windows have equal anchors at the same
 place in them.  The windows of a document that share an anchor's position lie
 side by side and form a piece of at most ``2 * LENGTH - GRAM`` bytes.
 
-1. Batches of documents ask for their distinct (anchor, piece) pairs; a hash of
+1. Batches of documents (of bounded bytes) ask for their distinct (anchor, piece) pairs; a hash of
    the anchor decides where they are counted.  A piece that occurs twice is
    repeated whole.  An anchor with one piece in all is done.
 2. Of anchors with different pieces, each distinct piece is sent once for each
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed, suffixes
-from .session import bounded_batches, partitions
+from .session import batches, bounded_batches
 
 LENGTH = 200
 GRAM = 32
@@ -344,7 +344,7 @@ def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed, in bytes) and kept (the other bytes) of every document."""
     bounded_batches(docs.sparkSession)
-    n = partitions(docs.sparkSession)
+    n = batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("batch", F.pmod(F.col("key"), F.lit(n)))
     by_batch = rows.groupBy("batch")

@@ -6,6 +6,9 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BATCH_BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +20,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def batches(docs: DataFrame) -> int:
+    """Number of batches for operators that hold a batch of texts in a task.
+
+    As many as the cluster sets for a shuffle, and more where a batch would have
+    over BATCH_BYTES of text; reads the column text once.
+    """
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // BATCH_BYTES))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """At most so many rows in an Arrow batch: texts are long, and a batch is held by the JVM and by Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quernstone.llm import exact_dedup, jaccard_join, passage_dedup, signature_tree, suffixes
+from quernstone.llm import exact_dedup, jaccard_join, passage_dedup, session, signature_tree, suffixes
 from quernstone.llm.components import components
 
 from . import data
@@ -85,6 +86,7 @@ def brute_components(rows):
 def test_jaccard(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "TREE_BLOCK", 8 * block)
+    monkeypatch.setattr(session, "BATCH_BYTES", 40 * block**3)
     rows = data.texts()
     got = jaccard_join.jaccard_components(data.documents(spark)).collect()
     assert len(got) == len(rows)
@@ -122,6 +124,17 @@ def test_many_equal_and_near_rows(spark):
     assert [r.doc_id for r in got if r.first] and {r.doc_id for r in got if r.first} == {0, 4000}
 
 
+def test_batches_are_bounded(spark, monkeypatch):
+    """Batches grow in number with the bytes of text; rows of one doc_id or of none are spread over them."""
+    monkeypatch.setattr(session, "BATCH_BYTES", 1000)
+    rows = spark.createDataFrame([(i and 7, data.words(n, 100)) for n in range(100) for i in (0, None)], "doc_id long, text string")
+    size = rows.selectExpr("sum(octet_length(text))").first()[0]
+    assert session.batches(rows) == -(-size // 1000) > 50
+    assert session.batches(rows.limit(1)) == session.batches(data.empty(spark)) == session.partitions(spark)
+    batch = "pmod(xxhash64(doc_id, xxhash64(text), 'batch'), 100)"
+    assert rows.groupBy(F.expr(batch)).count().agg(F.max("count")).first()[0] < 10
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(data.empty(spark)).count() == 0
 
@@ -185,7 +198,9 @@ def brute_passages(rows, length):
     return out
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("most", [session.BATCH_BYTES, 20_000])
+def test_passages(spark, monkeypatch, most):
+    monkeypatch.setattr(session, "BATCH_BYTES", most)
     rows = data.texts()
     # windows that share an anchor but not their bytes, and matches that end at different places
     core = data.words(4242, 60)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quernstone.llm import chain, hmm, language, quality, sample, toxicity
+from quernstone.llm import chain, hmm, language, quality, sample, session, toxicity
 
 from . import data
 
@@ -248,7 +248,9 @@ def test_language_odd_cases(spark):
     assert language.language_query(data.empty(spark)).count() == 0
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("most", [session.BATCH_BYTES, 20_000])
+def test_language_model(spark, monkeypatch, most):
+    monkeypatch.setattr(session, "BATCH_BYTES", most)
     rows = data.texts()
     got = hmm.lm_query(data.documents(spark)).collect()
     assert len(got) == len(rows)
