@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, streamed
 
 LINK = "u long, v long, flag long"
 
@@ -75,7 +75,7 @@ def _small(u, v, least, first, again, flag):
 
 
 def _pass(rows: DataFrame, fold) -> DataFrame:
-    return rows.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_by_least(fold), LINK)
+    return rows.repartition("u").sortWithinPartitions("u", "v").mapInArrow(streamed(_by_least(fold)), LINK)
 
 
 def components(nodes: DataFrame, links: DataFrame, stars: bool = False) -> DataFrame:

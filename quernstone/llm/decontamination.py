@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .session import bounded_batches, partitions
+from .session import bounded_batches, partitions, streamed
 
 RANK = 224
 EXTRA = 32  # columns of the sketch beyond the rank
@@ -506,7 +506,7 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
                 total[-1] += b - a
         return total
 
-    df = packed.summed(texts.mapInArrow(_partial(frequencies), "part long, vec binary"), n_parts)
+    df = packed.summed(texts.mapInArrow(streamed(_partial(frequencies)), "part long, vec binary"), n_parts)
     df = np.zeros(size + 1) if df is None else df
     count = df[-1] + len(items.ids)
     idf = np.log((count + 1) / (df[:-1] + 1)) + 0.1
@@ -524,7 +524,7 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
                     _sketch(Windows(look, h, doc).weigh(idf, rare), omega, total)
         return total if total.any() else None
 
-    total = packed.summed(texts.mapInArrow(_partial(sketch), "part long, vec binary"), n_parts, fan_in=8, kind=np.float32)
+    total = packed.summed(texts.mapInArrow(streamed(_partial(sketch)), "part long, vec binary"), n_parts, fan_in=8, kind=np.float32)
     own = Weighted(items, idf)
     mine = own.back(own.times(omega))
     y = mine * (ITEM_WEIGHT / max(np.linalg.norm(mine), 1e-9))
@@ -563,7 +563,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = [who, pa.array([m.items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([len(m.items.texts[r[1]]) for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64()), pa.array([r[5] for r in rows], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "lcs", "item_words", "share", "answer_share"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(streamed(run), SCHEMA)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if found is None else found
 
@@ -583,5 +583,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[r[0] for r in shared.value.leaks(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(streamed(run), docs.schema)
     return docs

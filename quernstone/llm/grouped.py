@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .session import streamed
+
 HELD = 4096  # rows of an unfinished group that are merged
 
 
@@ -51,4 +53,4 @@ def by_group(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], list], n
             yield flush()
 
     schema = ", ".join(f"{n} {'binary' if n in binary else 'long'}" for n in names)
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(streamed(run), schema)

@@ -48,7 +48,7 @@ from . import packed
 from . import signature_tree as tree
 from .components import components
 from .grouped import by_group
-from .session import batches, bounded_batches, cut
+from .session import batches, bounded_batches, called, cut, streamed
 
 WORDS = 5
 LOW = 0.27
@@ -96,7 +96,7 @@ def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
+    def asked(table: pa.Table) -> pa.Table:
         keys, counts = [], []
         for _, _, buf, off in K.slices(table.column("text"), SLICE):
             s, _ = shingles(buf, off)
@@ -109,6 +109,9 @@ def _ask(buckets: int):
         n = np.bincount(of, np.concatenate(counts), minlength=len(u)).astype(np.int64)
         return packed.requests(table.column("batch")[0].as_py(), u, n, buckets)
 
+    def run(table: pa.Table) -> pa.Table:
+        return called(asked, table)
+
     return run
 
 
@@ -120,6 +123,10 @@ def _repeated(keys: np.ndarray, counts: np.ndarray, row: np.ndarray):
 
 
 def _sets(left: pa.Table, right: pa.Table) -> pa.Table:
+    return called(_sets_of, left, right)
+
+
+def _sets_of(left: pa.Table, right: pa.Table) -> pa.Table:
     """Sizes and fingerprints of all texts; sets and the prefix's repeated shingles of those with any."""
     known, freq = packed.replies(right)
     size, h1, h2, prefix, sets = [], [], [], [], []
@@ -310,7 +317,7 @@ def _numbers(parts):
 
 def _near_copies(reps: DataFrame) -> DataFrame:
     """node, comp: components of the links found in blocks of classes with an equal minimum."""
-    keys = reps.select("node", "tokens").mapInArrow(_min_keys, "node long, key long").distinct()
+    keys = reps.select("node", "tokens").mapInArrow(streamed(_min_keys), "node long, key long").distinct()
     shared = _one_of_each(keys, "key", "node", "members")
     placed = keys.join(shared, "key").select("node", "key", _part("node", _spread(F.col("members"), BLOCK)).alias("part"))
     links = by_group(placed.join(reps.select("node", "tokens"), "node"), ["key", "part"], _block_links, ["a", "b"])
@@ -326,7 +333,7 @@ def _left_over(reps: DataFrame, near: DataFrame) -> DataFrame:
     by_token = sized.select("comp", F.explode(token).alias("token")).distinct()
     meets = cut(by_token.join(_one_of_each(by_token, "token", "comp", "comps"), "token"))
     members = near.join(meets.select("comp").distinct(), "comp", "left_semi")
-    parts = reps.select("node", "n", "tokens").join(members, "node").select("comp", "n", "tokens").mapInArrow(_summaries, SUMMARY_TYPES)
+    parts = reps.select("node", "n", "tokens").join(members, "node").select("comp", "n", "tokens").mapInArrow(streamed(_summaries), SUMMARY_TYPES)
     summary = by_group(parts, ["comp"], _summary, SUMMARY, ("either", "every"), _merged)
     spread = _spread(F.col("comps"), TREE_BLOCK)
     placed = meets.withColumn("part", _part("comp", spread)).withColumn("q", _numbers(spread))
@@ -357,7 +364,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     heads = classes.select(F.col("h1").alias("node"), F.col("head.doc_id").alias("d"), F.col("head.text_hash").alias("t"))
     same = (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("h1") == F.col("node"))
     # sorted by the join, so rows that repeat a class's first row lie together
-    reps = cut(open_sets.select("doc_id", "text_hash", "h1", "n", "prefix", "tokens").join(heads.hint("merge"), same).select("node", "n", "prefix", "tokens").mapInArrow(_first_of_equal, "node long, n long, prefix binary, tokens binary"))
+    reps = cut(open_sets.select("doc_id", "text_hash", "h1", "n", "prefix", "tokens").join(heads.hint("merge"), same).select("node", "n", "prefix", "tokens").mapInArrow(streamed(_first_of_equal), "node long, n long, prefix binary, tokens binary"))
     near = _near_copies(reps)
     joined = components(near.select(F.col("comp").alias("node")), _left_over(reps, near))
 

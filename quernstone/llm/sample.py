@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_BYTES = 32 << 20  # of text of a sample
 
@@ -32,7 +33,10 @@ def texts(docs: DataFrame, value, most: int, most_bytes: int = MAX_BYTES) -> pa.
         if r.n <= left:
             left -= r.n
             chosen.append((r.doc_id, r.h, r.value, len(chosen)))
-    known = spark.createDataFrame(chosen, rows.select("doc_id", "h", "value").schema.add("place", "long"))
+    schema = rows.select("doc_id", "h", "value").schema.add("place", "long")
+    # from an Arrow table: a list would start Python workers of another kind on every executor
+    columns = [pa.array([r[i] for r in chosen], f.type) for i, f in enumerate(to_arrow_schema(schema))]
+    known = spark.createDataFrame(pa.table(columns, schema.names), schema)
     same = rows.join(F.broadcast(known.withColumnsRenamed({"doc_id": "d", "h": "k", "value": "v"})), (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("k")) & F.col("value").eqNullSafe(F.col("v")))
     return same.select("text", "value", "place").dropDuplicates(["place"]).toArrow().sort_by("place")
 

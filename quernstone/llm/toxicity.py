@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import sample
-from .session import bounded_batches
+from .session import bounded_batches, streamed
 
 MAX_LABELLED = 8000
 SLICE = 1 << 19
@@ -227,7 +227,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.above(batch.column(at))[:, 0] <= shared.value.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(streamed(run), docs.schema)
 
 
 

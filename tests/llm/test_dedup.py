@@ -2,8 +2,13 @@
 
 import collections
 import hashlib
+import os
+import platform
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -135,6 +140,41 @@ def test_batches_are_bounded(spark, monkeypatch):
     assert rows.groupBy(F.expr(batch)).count().agg(F.max("count")).first()[0] < 10
 
 
+RETAINED = """
+import re
+import numpy as np, pyarrow as pa
+from quernstone.llm import jaccard_join
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = np.random.default_rng(1)
+texts = [" ".join(f"word{i}" for i in rng.integers(0, 4000, 300)) for _ in range(5000)]
+table = pa.table({"doc_id": np.arange(5000), "text_hash": np.arange(5000), "text": texts, "batch": np.zeros(5000, np.int64)})
+before = held()
+asked = jaccard_join._ask(4)(table)
+sets = jaccard_join._sets(table, asked.select(["batch", "keys", "counts"]))
+print(held() - before - (asked.nbytes + sets.nbytes) / 2**20)
+"""
+
+
+def test_workers_keep_no_memory_between_groups():
+    """A worker that is idle holds what it returned, but not what it needed for it."""
+    if not os.path.exists("/proc/self/smaps_rollup") or platform.libc_ver()[0] != "glibc":
+        pytest.skip("needs glibc on Linux")
+    out = subprocess.run([sys.executable, "-c", RETAINED], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < 16
+
+
+def test_a_stream_releases_when_it_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(session, "release", lambda: calls.append(1))
+    assert list(session.streamed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and calls == [1]
+    with pytest.raises(ZeroDivisionError):
+        list(session.streamed(lambda batches: (1 // b for b in batches))(iter([0])))
+    assert calls == [1, 1]
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(data.empty(spark)).count() == 0
 

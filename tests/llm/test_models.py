@@ -89,6 +89,16 @@ def test_a_sample_has_rows_and_bytes(spark):
     assert sample.texts(docs.limit(0), sample.F.lit(0), 5).num_rows == 0
 
 
+def test_a_sample_starts_no_other_workers(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one", "en"), (2, "two", "de")], "doc_id long, text string, lang string")
+
+    def rows_of_python(*args, **more):
+        raise AssertionError("a list goes through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", rows_of_python)
+    assert sample.texts(docs, sample.F.col("lang"), 5).num_rows == 2
+
+
 def test_expected_moves_of_a_long_text():
     """Every token but the first of a text is moved to, however long the text is."""
     rng = np.random.default_rng(2)
