@@ -47,7 +47,7 @@ ETA = 3.0
 LAGGING = 48  # configurations taken from one dynamic program
 ROUNDS = 2000
 SHARES = (0.25, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0)  # of the copies, after which rounding may stop
-BUCKET = 1 << 18  # pieces that are ranked together
+BUCKET = 1 << 14  # pieces that are ranked together
 MAX_SLOTS = 1 << 20  # patterns times lengths in them; a plan has some ten thousand
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
