@@ -1,7 +1,8 @@
 """Merging change sets into lists: upserts, and deletes as a null new value.
 
 Deleting what is absent does nothing; an empty change set changes nothing; a
-term whose last posting goes disappears with it.
+term whose last posting goes disappears with it.  A key has one change: the last
+by given columns, or else two are an error.
 """
 
 from __future__ import annotations
@@ -10,20 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merge(rows: DataFrame, changes: DataFrame, keys: list[str], value: str, new: str) -> DataFrame:
+def latest(changes: DataFrame, keys: list[str], new: str, order: list[str] | None = None) -> DataFrame:
+    """keys and new, one change for each key: the last by the columns `order`, an error where there are several without them."""
+    if order:
+        return changes.groupBy(*keys).agg(F.max(F.struct(*order, new))[new].alias(new))
+    one = changes.groupBy(*keys).agg(F.count("*").alias("n"), F.first(new).alias(new))
+    many = F.raise_error(F.concat(F.lit("several changes of "), F.to_json(F.struct(*keys)))).cast(changes.schema[new].dataType)
+    return one.select(*keys, F.when(F.col("n") > 1, many).otherwise(F.col(new)).alias(new))
+
+
+def merge(rows: DataFrame, changes: DataFrame, keys: list[str], value: str, new: str, order: list[str] | None = None) -> DataFrame:
     """rows(keys, value) after changes(keys, new): one full outer join on the keys."""
     left = rows.select(*keys, F.col(value).alias("_old"))
-    right = changes.select(*keys, F.col(new).alias("_new"), F.lit(True).alias("_changed"))
+    right = latest(changes, keys, new, order).select(*keys, F.col(new).alias("_new"), F.lit(True).alias("_changed"))
     out = left.join(right, keys, "full_outer").select(*keys, F.when(F.col("_changed"), F.col("_new")).otherwise(F.col("_old")).alias(value))
     return out.where(F.col(value).isNotNull())
 
 
-def merge_postings(postings: DataFrame, changes: DataFrame) -> DataFrame:
-    return merge(postings, changes, ["term", "did"], "wdf", "new_wdf")
+def merge_postings(postings: DataFrame, changes: DataFrame, order: list[str] | None = None) -> DataFrame:
+    return merge(postings, changes, ["term", "did"], "wdf", "new_wdf", order)
 
 
-def merge_doclens(doclens: DataFrame, changes: DataFrame) -> DataFrame:
-    return merge(doclens, changes, ["did"], "len", "new_len")
+def merge_doclens(doclens: DataFrame, changes: DataFrame, order: list[str] | None = None) -> DataFrame:
+    return merge(doclens, changes, ["did"], "len", "new_len", order)
 
 
 def upsert_doclens(doclens: DataFrame, changes: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def ints(spark: SparkSession, sf: str) -> DataFrame:
 CTE = {
     "tokens": """tokens AS (SELECT doc_id + 1 AS did, lower(unnest(w)) AS term, generate_subscripts(w, 1)::BIGINT AS pos
       FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents))""",
-    "postings": "postings AS (SELECT term, did, count(*) AS wdf FROM tokens GROUP BY ALL)",
+    "postings": "postings AS MATERIALIZED (SELECT term, did, count(*) AS wdf FROM tokens GROUP BY ALL)",
     "doclens": "doclens AS (SELECT did, count(*) AS len FROM tokens GROUP BY ALL)",
     "terms": "terms AS (SELECT term, count(*) AS termfreq, sum(wdf)::BIGINT AS collfreq FROM postings GROUP BY ALL)",
     "term_probes": f"""term_probes AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part
@@ -83,13 +83,14 @@ CTE = {
       SELECT did, CASE WHEN did % 7 != 0 THEN len + 1 END AS new_len FROM doclens WHERE did % 7 = 0 OR did % 5 = 0
       UNION ALL SELECT did, did % 300 + 1 FROM (SELECT unnest(range(max(did) + 1, max(did) + 11)) AS did FROM doclens)
       UNION ALL SELECT did, NULL FROM (SELECT unnest(range(max(did) + 101, max(did) + 104)) AS did FROM doclens))""",
-    "posting_changes": f"""posting_changes AS (
+    "posting_changes": f"""posting_changes AS MATERIALIZED (
       SELECT term, did, CASE WHEN term != 'of' AND did % 7 != 0 THEN wdf + 1 END AS new_wdf FROM postings WHERE term = 'of' OR did % 7 = 0 OR did % 5 = 0
       UNION ALL SELECT unnest(['the', 'newterm']), did, did % 9 + 1 FROM (SELECT unnest(range(max(did) + 1, max(did) + 11)) AS did FROM postings)
       UNION ALL SELECT '{ABSENT}', did, NULL FROM (SELECT unnest(range(max(did) + 101, max(did) + 104)) AS did FROM postings))""",
     "merged_postings": """merged_postings AS (
-      SELECT * FROM postings p WHERE NOT EXISTS (SELECT 1 FROM posting_changes c WHERE c.term = p.term AND c.did = p.did)
-      UNION ALL SELECT term, did, new_wdf FROM posting_changes WHERE new_wdf IS NOT NULL)""",
+      SELECT term, did, CASE WHEN c.changed THEN c.new_wdf ELSE p.wdf END AS wdf
+      FROM postings p FULL JOIN (SELECT *, true AS changed FROM posting_changes) c USING (term, did)
+      WHERE CASE WHEN c.changed THEN c.new_wdf ELSE p.wdf END IS NOT NULL)""",
     "merged_doclens": """merged_doclens AS (
       SELECT * FROM doclens d WHERE NOT EXISTS (SELECT 1 FROM doclen_changes c WHERE c.did = d.did)
       UNION ALL SELECT did, new_len FROM doclen_changes WHERE new_len IS NOT NULL)""",

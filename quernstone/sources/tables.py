@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TERM_BUCKETS = 64
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -33,86 +28,6 @@ def read_ints_text(spark: SparkSession, path: str, terminator: int | None = None
     return spark.read.text(path, wholetext=True).select(F.posexplode(values).alias("pos", "v")).select(F.col("pos").cast("long").alias("pos"), "v")
 
 
-# ---- posting tables: PATH/data/gen=G/term_bucket=B holds a bucket, PATH/manifest says which G is B's
-
-
-MANIFEST = "version long, bucket int, gen string"
-POSTINGS = "term string, did long, wdf long, gen string, term_bucket int"
-
-
-def _bucket(buckets: int):
-    return F.pmod(F.hash("term"), F.lit(buckets))
-
-
-def _current(spark: SparkSession, path: str) -> list:
-    """Rows (bucket, gen, version) of the latest entry of each bucket; gen is null for an empty one."""
-    last = F.max(F.struct("version", "gen")).alias("last")
-    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").groupBy("bucket").agg(last).select("bucket", "last.gen", "last.version").collect()  # a row a bucket
-
-
-def _publish(spark: SparkSession, path: str, rows: DataFrame, buckets: list[int], version: int) -> None:
-    """Write a new generation of some buckets, then name it in the manifest by one file, which is the commit."""
-    gen = uuid4().hex
-    keyed = rows.select("term", "did", "wdf", F.lit(gen).alias("gen"), F.col("term_bucket").cast("int").alias("term_bucket"))
-    keyed.repartition("term_bucket").sortWithinPartitions("term", "did").write.mode("append").partitionBy("gen", "term_bucket").parquet(f"{path}/data")
-    written = spark.read.schema(POSTINGS).parquet(f"{path}/data").where(F.col("gen") == gen).select("term_bucket").distinct().collect()
-    there = {r.term_bucket for r in written}
-    entries = [(version, b, gen if b in there else None) for b in buckets]
-    spark.createDataFrame(entries, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-
-
-def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Postings by bucket of the term, sorted inside, so that a term reads one folder and few row groups.
-
-    A table that is there is replaced when all is written; readers of the old one are not disturbed.
-    """
-    spark = postings.sparkSession
-    try:
-        version = max((r.version for r in _current(spark, path)), default=0) + 1
-    except AnalysisException:  # no table yet
-        version = 1
-    _publish(spark, path, postings.withColumn("term_bucket", _bucket(buckets)), list(range(buckets)), version)
-
-
-def read_postings(spark: SparkSession, path: str, *wanted: str, buckets: int = TERM_BUCKETS) -> DataFrame:
-    """Postings, of some terms if named: partition pruning by bucket, then a pushed filter."""
-    places = None
-    if wanted:
-        asked = spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(buckets).alias("b"))
-        places = {r.b for r in asked.collect()}
-    rows = _buckets(spark, path, places)
-    return (rows.where(F.col("term").isin(*wanted)) if wanted else rows).select("term", "did", "wdf")
-
-
-def _buckets(spark: SparkSession, path: str, places: set[int] | None) -> DataFrame:
-    """Current rows of some buckets (all if None); other generations are pruned as partitions."""
-    gens: dict[str, list[int]] = {}
-    for r in _current(spark, path):
-        if r.gen is not None and (places is None or r.bucket in places):
-            gens.setdefault(r.gen, []).append(r.bucket)
-    keep = F.lit(False)
-    for gen, some in gens.items():
-        keep = keep | ((F.col("gen") == gen) & F.col("term_bucket").isin(*some))
-    return spark.read.schema(POSTINGS).parquet(f"{path}/data").where(keep)
-
-
-def merge_into(spark: SparkSession, path: str, changes: DataFrame, buckets: int = TERM_BUCKETS) -> None:
-    """Merge a change set and rewrite only the buckets that it touches.
-
-    Untouched buckets stay the files they are; a bucket that loses its last
-    posting becomes empty.  Until the manifest names the new generation, readers
-    (and a merge that is run again after a failure) see the table as it was.
-    """
-    from ..operators.merge import merge_postings
-
-    touched = {r.b for r in changes.select(_bucket(buckets).alias("b")).distinct().collect()}  # at most `buckets`
-    if not touched:
-        return
-    version = max(r.version for r in _current(spark, path)) + 1
-    old = _buckets(spark, path, touched).select("term", "did", "wdf")
-    _publish(spark, path, merge_postings(old, changes).withColumn("term_bucket", _bucket(buckets)), sorted(touched), version)
-
-
 # ---- chunks as they are stored: header and body in one binary, tagged with their codec
 
 

@@ -1,33 +1,81 @@
-"""Applies a stream of change sets to a document-length table, batch by batch.
+"""Follows a stream of changes and keeps a posting table up to date.
 
-Each micro-batch becomes a new version of the table; the pointer to the
-current version is the highest complete one, so a batch that is replayed after
-a failure writes the same version again.  Of several changes to one document in
-a batch the one with the largest ``seq`` counts, be it a length or a delete.
+A change is (term, did, new_wdf, at, seq): what a posting becomes (null: it goes),
+its event time, and a number that orders changes of one time.  Changes may come
+late, twice and in any order, in one batch or over several: for each posting the
+state keeps the (at, seq) of the last change that was passed on, and only a
+later one goes through.  The state of a posting is given up when the watermark
+has passed its change: whatever still comes after that is later, because rows
+behind the watermark are dropped.  So the state holds the changes of the last
+`delay`, not the table.
+
+Every micro-batch adds its changes to the table as one run, so bytes written
+follow the changes.  The snapshot names the batch, and a batch that is replayed
+after a failure is left out.
+
+Document lengths are the list of the empty term, as `lengths` makes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources import posting_log
+
+CHANGES = "term string, did long, new_wdf long, at timestamp, seq long"
+OUT = "term string, did long, new_wdf long"
+DELAY = "1 hour"
+STATE = "at long, seq long"  # at: microseconds
+
+
+def last_change(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Passes on a change of a posting that is later than all before it."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    found = None
+    for part in parts:
+        times = part["at"].astype("datetime64[us]").astype("int64").tolist()
+        for at, seq, value in zip(times, part["seq"].tolist(), part["new_wdf"].tolist()):
+            # of equal order the larger value counts, and any value before none: as posting tables do
+            one = (at, seq, -1 if value is None or value != value else int(value))
+            found = one if found is None else max(found, one)
+    if found is None or (state.exists and tuple(state.get) >= found[:2]):
+        return
+    at, seq, value = found
+    state.update((at, seq))
+    state.setTimeoutTimestamp(at // 1000 + 1)
+    yield pd.DataFrame({"term": [key[0]], "did": [key[1]], "new_wdf": pd.array([None if value < 0 else value], dtype="Int64")})
+
+
+def lengths(changes: DataFrame) -> DataFrame:
+    """Changes (did, new_len, at, seq) of document lengths as changes of the empty term's list."""
+    return changes.select(F.lit("").alias("term"), "did", F.col("new_len").alias("new_wdf"), "at", "seq")
 
-from ..operators.merge import merge_doclens
 
-CHANGES = "did long, new_len long, seq long"
+def from_files(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """Parquet files of changes as they come, so many in a batch."""
+    return spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def version(path: str, number: int) -> str:
-    return f"{path}/version={number}"
+def last_changes(changes: DataFrame, delay: str = DELAY) -> DataFrame:
+    """term, did, new_wdf of the changes of a stream that count."""
+    keyed = changes.where("term is not null and did is not null and at is not null").withColumn("seq", F.coalesce("seq", F.lit(0).cast("long")))
+    return keyed.withWatermark("at", delay).groupBy("term", "did").applyInPandasWithState(last_change, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def start(spark: SparkSession, changes_path: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Follow Parquet files of changes; version 0 of the table must exist under path."""
+def start(changes: DataFrame, path: str, checkpoint: str, name: str = "changes", delay: str = DELAY, fan: int = posting_log.FAN) -> StreamingQuery:
+    """Merge a stream of changes into the posting table under path, until what is there now is done."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(version(path, number))
-        latest = batch.groupBy("did").agg(F.max(F.struct("seq", "new_len"))["new_len"].alias("new_len"))
-        merge_doclens(old, latest).write.mode("overwrite").parquet(version(path, number + 1))
+        posting_log.merge(batch.sparkSession, path, batch, stream=(name, number))
+        posting_log.compact(batch.sparkSession, path, fan)
 
-    stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(changes_path)
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = last_changes(changes, delay).writeStream.outputMode("update").foreachBatch(apply)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

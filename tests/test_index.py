@@ -9,7 +9,6 @@ from quernstone.functions import chunks, interpolative, sortable, varint, vs
 from quernstone.functions import columns as C
 from quernstone.operators import build, chunking, lookup, merge, stored
 from quernstone.sources import tables
-from quernstone.streaming import changes
 
 
 @pytest.fixture(scope="module")
@@ -79,39 +78,6 @@ def test_byte_split_counts_before_adding(spark):
     assert got == [6] * 16 + [4]  # 1 + 5 * 2 bytes, then the next entry sees 11
 
 
-def test_scan_is_pruned(spark, tmp_path, postings):
-    path = str(tmp_path / "index")
-    tables.write_postings(postings, path, buckets=4)
-    one = tables.read_postings(spark, path, "b", buckets=4).select("did")
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    pruned = plan.split("PartitionFilters:")[1].split("PushedFilters:")[0]
-    assert "term_bucket" in pruned and "gen" in pruned
-    assert "In(term, [b])" in plan or "EqualTo(term,b)" in plan
-    assert "wdf" not in plan.split("ReadSchema:")[1]
-    assert one.count() == 40
-    before = tables.read_postings(spark, path).count()
-    tables.merge_into(spark, path, spark.createDataFrame([("b", 1 << 20, 5), ("a", None, None)], "term string, did long, new_wdf long"), buckets=4)
-    assert tables.read_postings(spark, path).count() == before + 1
-
-
-def test_merge_into_empties_buckets(spark, tmp_path):
-    """Deletes that empty a bucket, or the whole table, are not lost; untouched buckets keep their files."""
-    path, schema = str(tmp_path / "index"), "term string, did long, new_wdf long"
-    start = {("alpha", 1): 1, ("beta", 1): 2, ("gamma", 5): 3}
-    tables.write_postings(spark.createDataFrame([(*k, v) for k, v in start.items()], "term string, did long, wdf long"), path, buckets=64)
-    now = dict(start)
-    for change in ({("alpha", 1): None}, {("beta", 1): 7, ("none", 3): None}, {("beta", 1): None, ("gamma", 5): None}, {("alpha", 9): 4}, {}):
-        tables.merge_into(spark, path, spark.createDataFrame([(*k, v) for k, v in change.items()], schema))
-        now = {k: v for k, v in (now | change).items() if v is not None}
-        assert {(r.term, r.did): r.wdf for r in tables.read_postings(spark, path).collect()} == now
-        assert {r.did for r in tables.read_postings(spark, path, "alpha").collect()} == {d for t, d in now if t == "alpha"}
-    tables.write_postings(spark.createDataFrame([("delta", 2, 2)], "term string, did long, wdf long"), path)
-    assert [tuple(r) for r in tables.read_postings(spark, path).collect()] == [("delta", 2, 2)]
-    # a generation that no manifest names is not seen
-    spark.createDataFrame([("x", 1, 1, "stray", 0)], tables.POSTINGS).write.mode("append").partitionBy("gen", "term_bucket").parquet(f"{path}/data")
-    assert tables.read_postings(spark, path).count() == 1
-
-
 def test_stored_chunks(spark, tmp_path, lists, postings):
     lengths = spark.range(1, 4102).selectExpr("id as did", "id % 700 as len")
     kept = stored.stored_postings(postings, 50).unionByName(stored.stored_postings(postings.selectExpr("concat(term, '+') as term", "did", "wdf"), 50, "skiplist")).unionByName(stored.stored_doclens(lengths))
@@ -218,16 +184,6 @@ def test_text_sources(spark, tmp_path):
     assert tables.read_ints_text(spark, str(tmp_path / "ints")).count() == 5
 
 
-def test_stream_of_changes(spark, tmp_path):
-    path, feed = str(tmp_path / "doclens"), str(tmp_path / "feed")
-    spark.createDataFrame([(1, 5), (2, 6)], "did long, len long").write.parquet(changes.version(path, 0))
-    for rows in ([(1, 8, 1), (1, None, 2), (3, 7, 1)], [(2, None, 1), (2, 9, 2), (4, None, 1)]):
-        spark.createDataFrame(rows, changes.CHANGES).coalesce(1).write.mode("append").parquet(feed)
-        q = changes.start(spark, feed, path, str(tmp_path / "state"))
-        q.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(changes.version(path, 2)).collect())) == [(2, 9), (3, 7)]
-
-
 def test_empty_documents(spark):
     docs = spark.createDataFrame([(0, None), (1, ""), (2, "Ab ab. Cd")], "doc_id long, text string")
     t = build.tokens(docs)
