@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL = 4096  # dids in a cell of a range join
+FAN = 16  # cells of a level in one of the next
+LEVELS = 9  # of cells of dids below 2^36
 SEEK_CELL = 1 << 16  # dids that a seek looks at together
 MAX_DID = (1 << 32) - 1
 
@@ -87,10 +88,51 @@ def chunk_contains(seeks: DataFrame) -> DataFrame:
     return seeks.withColumn("inside", F.coalesce(F.col("probe").between(F.col("first_did"), F.col("last_did")), F.lit(False)))
 
 
-def chunk_range_join(dids: DataFrame, chunks: DataFrame, cell: int = CELL) -> DataFrame:
-    """did with the chunk of one list whose range holds it: equal cells, then the range."""
-    spread = chunks.select("chunk_no", "first_did", "last_did", F.explode(F.expr(f"sequence(first_did div {cell}, last_did div {cell})")).alias("cell"))
-    return dids.withColumn("cell", F.expr(f"did div {cell}")).join(spread, "cell").where("did between first_did and last_did").drop("cell")
+def cover(lo: Column, hi: Column) -> Column:
+    """Array of (level, cell): aligned cells of 16^level dids that make up lo to hi, at most 30 a level.
+
+    Whole cells of a level are a to b - 1.  Those that lie in whole cells of the
+    next level are left to it, so that the ones before and behind are taken.
+    """
+
+    def whole(level: int) -> tuple[Column, Column]:
+        size = F.lit(FAN**level)
+        return F.call_function("div", lo + (size - 1), size), F.call_function("div", hi + 1, size)
+
+    def cells(start: Column, stop: Column, level: int) -> Column:
+        some = F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(some, lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
+
+    parts = []
+    for level in range(LEVELS):
+        (a, b), (up, down) = whole(level), whole(level + 1)
+        if level == LEVELS - 1:
+            parts.append(cells(a, b, level))
+        else:
+            parts.append(F.when(up <= down, F.concat(cells(a, up * FAN, level), cells(down * FAN, b, level))).otherwise(cells(a, b, level)))
+    return F.concat(*parts)
+
+
+def interval_join(dids: DataFrame, ranges: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Every did with every range that holds it, both ends included; ranges may overlap and be of any width below 2^32.
+
+    A range is O(log width) aligned cells of several sizes, and a did has one cell
+    of each size that occurs, so one join on equal cells finds each pair once.
+    A range that ends before it begins holds nothing.
+    """
+    named = ranges.columns
+    spread = ranges.select(*named, F.explode(cover(F.col(lo), F.col(hi))).alias("part")).select(*named, "part.level", "part.cell")
+    levels = [r.level for r in spread.select("level").distinct().collect()]  # at most LEVELS
+    places = F.array(*[F.struct(F.lit(n).alias("level"), F.expr(f"did div {FAN**n}L").alias("cell")) for n in sorted(levels)])
+    if not levels:
+        return dids.join(ranges, F.lit(False))
+    points = dids.select(*dids.columns, F.explode(places).alias("part")).select(*dids.columns, "part.level", "part.cell")
+    return points.join(spread, ["level", "cell"]).drop("level", "cell")
+
+
+def chunk_range_join(dids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """did with the chunk of one list whose range holds it."""
+    return interval_join(dids, chunks.select("chunk_no", "first_did", "last_did"), "first_did", "last_did")
 
 
 def chunk_max_did(chunks: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import lookup, topk
 from ..sources import posting_log
 from ..sources.shared import scratch
 from ..streaming import changes
 from . import inputs as I
-from .inputs import sql
+from .inputs import WANTED, sql
 
 QUERIES, ORACLES = {}, {}
 PARTS = 3  # change sets
@@ -80,3 +81,31 @@ def postlist_stream(spark, sf):
         part.coalesce(1).write.mode("append").parquet(feed)  # files of a feed: a batch each
     changes.start(changes.from_files(spark, feed), path, state).awaitTermination()
     return posting_log.read(spark, path)
+
+
+K = 20
+IMPACT_CELL = 64  # small, so that small tables have several
+TOP = f"""SELECT row_number() OVER (ORDER BY score DESC, did) AS rank, did, score FROM (
+      SELECT did, sum(wdf * 1000000 // len)::BIGINT AS score FROM postings JOIN doclens USING (did) WHERE term IN ({", ".join(f"'{t}'" for t in WANTED)}) GROUP BY did)
+    ORDER BY score DESC, did LIMIT {K}"""
+
+
+@query(sql(TOP, "tokens", "postings", "doclens"))
+def postlist_topk(spark, sf):
+    """By relative frequency; cells whose bounds are too small are not read."""
+    path = scratch(spark, "impacts")
+    rows = lookup.with_doclength(I.postings(spark, sf), I.doclens(spark, sf))
+    topk.write_impacts(topk.impacts(rows, F.expr("wdf * 1000000 div len"), IMPACT_CELL), path)
+    return topk.top(spark, path, WANTED, K)
+
+
+WIDE = "SELECT o_orderkey AS id, (o_orderkey * 7919) % 5000 AS lo, (o_orderkey * 7919) % 5000 + (1::BIGINT << (o_orderkey % 32)::INT) - 2 AS hi FROM orders"
+
+
+@query(sql(f"SELECT id, count(*) AS n, sum(did)::BIGINT AS dids FROM ({WIDE}) JOIN doclens ON did BETWEEN lo AND hi GROUP BY id", "tokens", "doclens"))
+def interval_join(spark, sf):
+    """Ranges of all widths that overlap, some of them empty."""
+    key, lo = F.col("o_orderkey"), (F.col("o_orderkey") * 7919) % 5000
+    ranges = I.table(spark, sf, "orders").select(key.alias("id"), lo.alias("lo"), (lo + F.expr("shiftleft(1L, int(o_orderkey % 32))") - 2).alias("hi"))
+    found = lookup.interval_join(I.doclens(spark, sf).select("did"), ranges, "lo", "hi")
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("did").alias("dids"))
