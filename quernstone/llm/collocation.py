@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .session import bounded_batches, cut, streamed
+from .session import bounded_batches, cut, partitions, streamed
 
 MAX_N = 3
 LEAST = 10
@@ -183,24 +183,24 @@ def bits(frequent: DataFrame) -> Broadcast:
     return frequent.sparkSession.sparkContext.broadcast(found.view(np.uint8))
 
 
-def _looked_up(rows: DataFrame, known: DataFrame, part: str, name: str, most: int) -> DataFrame:
-    """rows with the count of (lang, part); parts that over `most` rows share don't meet in one task."""
-    hot = rows.groupBy("lang", F.col(part).alias("phrase")).agg(F.count("*").alias("asks")).where(F.col("asks") > most)
-    hot = cut(hot.join(known, ["lang", "phrase"]).select(F.col("lang").alias("hot_lang"), F.col("phrase").alias("hot_phrase"), F.col("a").alias("hot")))
-    both = rows.join(F.broadcast(hot), (F.col("lang") == F.col("hot_lang")) & (F.col(part) == F.col("hot_phrase")), "left").drop("hot_lang", "hot_phrase")
-    plain = known.select("lang", F.col("phrase").alias(part), F.col("a").alias(name))
-    rest = both.where("hot is null").drop("hot").join(plain, ["lang", part])
-    return both.where("hot is not null").withColumnRenamed("hot", name).unionByName(rest)
+def _looked_up(rows: DataFrame, asked: DataFrame, known: DataFrame, part: str, name: str, most: int) -> DataFrame:
+    """rows with the count of (lang, part) as `name`; parts that over `most` rows of asked share don't meet in one task."""
+    hot = asked.groupBy("lang", F.col(part).alias("phrase")).agg(F.count("*").alias("asks")).where(F.col("asks") > most)
+    hot = hot.join(known, ["lang", "phrase"]).select("lang", F.col("phrase").alias(part), F.col("a").alias("hot"))
+    rows = rows.join(F.broadcast(hot), ["lang", part], "left")
+    # no phrase begins with a space: rows that have their count are spread and find nothing
+    rows = rows.withColumn("key", F.when(F.col("hot").isNull(), F.col(part)).otherwise(F.concat(F.lit(" "), "phrase")))
+    found = rows.join(known.select("lang", F.col("phrase").alias("key"), F.col("a").alias("found")), ["lang", "key"], "left")
+    return found.withColumn(name, F.coalesce("hot", "found")).drop("key", "hot", "found")
 
 
 def scored(frequent: DataFrame) -> DataFrame:
     """lang, phrase, words, a, score, l, r of candidates, by their lowest-scoring cut."""
     k = F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")
-    parts = frequent.where("words > 1").select("lang", "phrase", "words", "a", k)
+    parts = frequent.where("words > 1").coalesce(partitions(frequent.sparkSession)).select("lang", "phrase", "words", "a", k)
     parts = cut(parts.withColumns({"head": F.expr("substring_index(phrase, ' ', k)"), "tail": F.expr("substring_index(phrase, ' ', k - words)")}))
     known, most = frequent.select("lang", "phrase", "a"), parts.count() // HOT + 1  # so fewer than HOT parts are hot
-    parts = cut(_looked_up(parts, known, "head", "l", most))
-    parts = _looked_up(parts, known, "tail", "r", most)
+    parts = _looked_up(_looked_up(parts, parts, known, "head", "l", most), parts, known, "tail", "r", most)
     big = {c: F.col(c).cast("decimal(19,0)") for c in "alr"}
     score = F.call_function("div", big["a"] * big["a"] * F.lit(1_000_000), big["l"] * big["r"])
     least = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
