@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import packed
-from .session import bounded_batches, partitions, streamed
+from .session import bounded_batches, parts_of, streamed
 
 RANK = 224
 EXTRA = 32  # columns of the sketch beyond the rank
@@ -488,7 +488,8 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model | None:
         return None
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts, n_parts = docs.select("text"), partitions(spark) * 8
+    texts = docs.select("text")
+    n_parts = parts_of(texts)
     keys = spark.sparkContext.broadcast(items.keys)
 
     def frequencies(batches):
@@ -569,8 +570,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
+    """The documents that hold no item, with all their columns.
+
+    Every block of the benchmark is weighed by all documents that came in, so that
+    this keeps what `leaks` doesn't find, and no block repeats the search of others.
+    """
+    spark, at, kept = docs.sparkSession, docs.columns.index("text"), docs
     for items in item_blocks(benchmark):
         model = fit(docs, items)
         if model is None:
@@ -583,5 +588,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[r[0] for r in shared.value.leaks(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(streamed(run), docs.schema)
-    return docs
+        kept = kept.mapInArrow(streamed(run), docs.schema)
+    return kept

@@ -116,10 +116,9 @@ def keep_last(docs: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     maybe = whole.where("repeated")
     groups = _groups(maybe.select("doc_id", "text_sha256")).select(F.col("text_sha256").alias("s"), "keep_id")
     stay = maybe.join(groups, (F.col("text_sha256") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    # equal rows become one before the shuffle; rows of one doc_id and text that differ elsewhere are ordered
+    # rows of one doc_id and text become one before the shuffle, the first by their other columns as text
     plain = [F.col("row").getField(c).cast("string") for c in docs.columns if c != "text"]
-    again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(*plain))
-    one = stay.select("row", "text_sha256", "doc_id").dropDuplicates().withColumn("again", again).where("again = 1")
+    one = stay.groupBy("text_sha256", "doc_id").agg(F.min_by("row", F.struct(*plain)).alias("row"))
     return straight.unionByName(one.select(*back))
 
 

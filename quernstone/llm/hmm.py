@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import chain, packed, sample
 from . import kernels as K
-from .session import batches, bounded_batches, cut, partitions
+from .session import batches, bounded_batches, cut, parts_of
 
 STATES = 6
 CLASSES = 4096  # the last is the end
@@ -134,7 +134,7 @@ def one_round(rows: DataFrame, model: Model) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "vec"])
 
     texts = rows.select("text")
-    vec = packed.summed(texts.mapInArrow(run, "part long, vec binary"), partitions(rows.sparkSession) * 8)
+    vec = packed.summed(texts.mapInArrow(run, "part long, vec binary"), parts_of(texts))
     return vec if vec is not None else np.zeros(STATES + STATES * STATES + CLASSES * STATES + 1)
 
 

@@ -9,14 +9,16 @@
    whose words name boilerplate (``cookie-notice``, ``related-posts``; not
    ``related-work`` nor ``has-sidebar``).  An element around ``main``, around all
    articles of the page, or a form around most of its text stays.
-3. If the page marks its content (``article``, ``main``), that is the text.  Else
-   the lengths of the lines, without the text of links, are summed over windows
+3. The lengths of all lines, without the text of links, are summed over windows
    of ``WINDOW`` lines.  Where the sums rise to the length of a long line is a
-   surge, where they fall below it a dive.  Text between them is kept, from the
-   first to the last line that is long or stands beside a long one in the same
-   element, with headings right before it; small stretches far from the largest
-   and runs of links inside go.  A long line has ``LONG`` characters, or a quarter
-   of the page's longest line if that is less.
+   surge, where they fall below it a dive.  On a page that marks its content
+   (``article``, ``main``) the marks are a prior: marked lines weigh ``PRIOR``
+   times, and are the text unless a stretch outside outweighs them.  Else text
+   between surge and dive is kept, from the first to the last line that is long
+   or stands beside a long one in the same element, with headings right before
+   it; small stretches far from the largest and runs of links inside go.  What
+   lies between two kept lines of one element stays.  A long line has ``LONG``
+   characters, or a quarter of the page's longest line if that is less.
 
 Character references are decoded, white space in a block becomes one space,
 blocks are joined by an empty line.
@@ -31,16 +33,19 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
+
 WINDOW = 3
 LONG = 60
 SMALL = 0.15  # of the largest stretch
+PRIOR = 4
 SCHEMA = "page_id long, url string, text string, n_chars long"
 # fixed values of the HTML standard: names of elements and roles
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "datalist")
@@ -53,7 +58,7 @@ LEAF = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "tr", "pre", "figcaption",
 HEAD_ONLY = frozenset(("base", "link", "meta"))
 ROLE_OUT = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 # words of classes and ids that name boilerplate, and words that go with them
-NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent notice notices gdpr popup modal newsletter subscribe sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended recommendations comment comments disqus reply replies respond widget widgets login signup signin skip pagination pager".split())
+NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent notice notices gdpr popup modal newsletter subscribe sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended recommendations comment comments disqus reply replies respond widget widgets login signup signin skip pagination pager teaser teasers kommentar kommentare commentaire commentaires comentario comentarios werbung anzeige anzeigen publicité publicidad".split())
 BESIDE = frozenset("box bar wrap wrapper container block section list item items area inner outer top bottom left right main site page global primary secondary panel content form link links button buttons icons post posts article articles story stories news body text unit slot label policy".split())
 OWN_PARTS = frozenset(("header", "masthead", "banner"))  # an article may have these of its own
 OWN_BESIDE = frozenset("article articles post posts story section content body text main news item".split())
@@ -100,7 +105,7 @@ class Page:
     def __init__(self, page: str):
         self.names, self.attributes, self.parent = ["#page"], [""], [-1]
         self.lines: list[list[tuple[int, str]]] = []
-        self.stack, self.opened = [0], Counter()
+        self.stack, self.depths, self.blocks = [0], defaultdict(list), []  # places in the stack: by name, of blocks
         self.line: list[tuple[int, str]] = []
         self.missing: set[str] = set()  # quotes that don't come again
         self.read(page)
@@ -183,37 +188,35 @@ class Page:
         if close:
             self.close(name)
             return at
-        if self.names[self.stack[-1]] == "head" and name not in HEAD_ONLY or name == "body" and self.opened["head"]:
+        if self.names[self.stack[-1]] == "head" and name not in HEAD_ONLY or name == "body" and self.depths["head"]:
             self.pop("head")
         if name in BLOCK and name != "html":
             self.close("p", inner=True)
         if name in ("li", "dt", "dd", "tr", "td", "th", "a", "option"):
             self.close(name, inner=True)
+        self.depths[name].append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
         self.stack.append(len(self.names))
         self.names.append(name)
         self.attributes.append(attributes)
         self.parent.append(self.stack[-2])
-        self.opened[name] += 1
         return at
 
     def pop(self, name: str) -> None:
         while True:
             top = self.names[self.stack.pop()]
-            self.opened[top] -= 1
+            self.depths[top].pop()
+            if top in BLOCK:
+                self.blocks.pop()
             if top == name:
                 return
 
     def close(self, name: str, inner: bool = False) -> None:
         """End the innermost open element of a name; an inline one (or inner) only if no block is open in it."""
-        if not self.opened[name]:
-            return
-        if inner or name not in BLOCK:
-            k = len(self.stack) - 1
-            while self.names[self.stack[k]] != name:
-                if self.names[self.stack[k]] in BLOCK:
-                    return
-                k -= 1
-        self.pop(name)
+        open_ = self.depths[name]
+        if open_ and not ((inner or name not in BLOCK) and self.blocks and self.blocks[-1] > open_[-1]):
+            self.pop(name)
 
     def taken_out(self) -> tuple[np.ndarray, np.ndarray]:
         """For every element, whether it is in boilerplate, and whether it is in article or main."""
@@ -235,9 +238,8 @@ class Page:
         own &= mains == 0
         own &= ~((np.array(self.names) == "form") & ((holds > 0) | (2 * text > text[0])))
         out = self.spread(own)
-        content = np.array([x in CONTENT for x in self.names])
-        if (content & out).any() and not (content & ~out).any():
-            out = self.spread(own & (holds == 0))
+        if not any(t.strip() for line in self.lines for e, t in line if not out[e]):
+            out = self.spread(own & (holds == 0))  # nothing else is left: what holds the page's articles stays
         return out, marked
 
     def spread(self, own: np.ndarray) -> np.ndarray:
@@ -267,8 +269,8 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
     return found
 
 
-def distribution(size: np.ndarray, whole: np.ndarray, box: np.ndarray, heading: np.ndarray) -> np.ndarray:
-    """Which lines of an unmarked page are main text."""
+def distribution(size: np.ndarray, whole: np.ndarray, box: np.ndarray, heading: np.ndarray, marked: np.ndarray | None = None) -> np.ndarray:
+    """Which lines of a page are main text; marked: those in article or main."""
     if not size.any():
         size = whole
     long = min(LONG, size.max() / 4)
@@ -278,6 +280,10 @@ def distribution(size: np.ndarray, whole: np.ndarray, box: np.ndarray, heading:
     near = (sums[:n] >= long) | (sums[WINDOW - 1 :] >= long)  # windows that end, or begin, at a line
     edge = np.flatnonzero(np.diff(np.r_[0, near.astype(int), 0]))
     stretches = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))  # from a surge to a dive
+    if marked is not None and marked.any():
+        outside = max((int(size[a:b][~marked[a:b]].sum()) for a, b in stretches), default=0)
+        if PRIOR * max(int(size[marked].sum()), 1) >= outside:
+            return marked.copy()
     is_long = size >= long
     largest = max(int(size[a:b].sum()) for a, b in stretches)
     main = next((a, b) for a, b in stretches if int(size[a:b].sum()) == largest)
@@ -301,14 +307,24 @@ def distribution(size: np.ndarray, whole: np.ndarray, box: np.ndarray, heading:
     return keep
 
 
+def between(keep: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Also the lines between two kept ones of one element."""
+    keep, kept = keep.copy(), np.flatnonzero(keep)
+    for a, b in zip(kept[:-1], kept[1:]):
+        if box[a] == box[b]:
+            keep[a:b] = True
+    return keep
+
+
 def main_text(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    if any(x[4] for x in found):  # the page marks its content
-        return "\n\n".join(x[0] for x in found if x[4])
-    whole, linked, box = (np.array([f(x) for x in found]) for f in (lambda x: len(x[0]), lambda x: x[1], lambda x: x[2]))
-    keep = distribution(whole - linked, whole, box, np.array([x[3] for x in found]))
+    whole, linked, box = (np.array([x[k] if k else len(x[0]) for x in found]) for k in (0, 1, 2))
+    heading, marked = (np.array([x[k] for x in found], bool) for k in (3, 4))
+    keep = distribution(whole - linked, whole, box, heading, marked)
+    if not (keep == marked).all():
+        keep = between(keep, box)
     return "\n\n".join(x[0] for x, k in zip(found, keep, strict=True) if k)
 
 
@@ -320,4 +336,5 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)

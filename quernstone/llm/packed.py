@@ -16,8 +16,17 @@ from pyspark.sql import functions as F
 FAN_IN = 64
 
 
+def rounds(most: int, fan_in: int = FAN_IN) -> list[int]:
+    """Number of groups after each round of adding so many vectors fan_in at a time."""
+    groups = []
+    while most > 1:
+        most = -(-most // fan_in)
+        groups.append(most)
+    return groups
+
+
 def summed(parts: DataFrame, most: int, fan_in: int = FAN_IN, kind: type = np.float64) -> np.ndarray | None:
-    """Sum of the vectors of floats in column vec of (part, vec), fan_in at a time.
+    """Sum of the vectors of floats in column vec of (part, vec), fan_in at a time; parts are 0 to most - 1.
 
     The vectors have the same bounded length; the driver gets one.
     """
@@ -26,9 +35,7 @@ def summed(parts: DataFrame, most: int, fan_in: int = FAN_IN, kind: type = np.fl
         total = sum(np.frombuffer(x.as_buffer(), kind) for x in table.column("vec"))
         return pa.table({"part": table.column("part")[:1], "vec": pa.array([total.tobytes()], pa.binary())})
 
-    n = most
-    while n > 1:
-        n = -(-n // fan_in)
+    for n in rounds(most, fan_in):
         parts = parts.select(F.pmod("part", F.lit(n)).alias("part"), "vec").groupBy("part").applyInArrow(add, "part long, vec binary")
     rows = parts.toArrow().column("vec")
     return sum(np.frombuffer(x.as_buffer(), kind) for x in rows) if len(rows) else None

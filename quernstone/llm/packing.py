@@ -11,7 +11,8 @@ capacity, times exp(-ETA * the share of its pieces that configurations cover
 already).  A round prices configurations by the unbounded knapsack over these
 weights, one dynamic program over all capacities, from which it takes the best
 configuration that has each of the lengths that lag most; each is used as often
-as its scarcest length allows, rounded down.  Lengths of which fewer are left than
+as its scarcest length allows, rounded down, but for at most a step of a length, so that
+all are covered alike.  Lengths of which fewer are left than
 one bin could hold, and what the last rounds leave, are the residue of the
 rounding: they go best fit first into the room of the bins that are open, and
 into new ones, many equal bins at a time.
@@ -43,10 +44,11 @@ from .session import bounded_batches, cut, streamed
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-ETA = 3.0
+ETA = 0.3
+STEPS = (0.1, 1.0)  # of the pieces of a length that one configuration covers at most; the better plan is taken
 LAGGING = 48  # configurations taken from one dynamic program
 ROUNDS = 2000
-SHARES = (0.25, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0)  # of the copies, after which rounding may stop
+SHARES = (0.05, 0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0)  # of the copies, after which rounding may stop
 BUCKET = 1 << 14  # pieces that are ranked together
 MAX_SLOTS = 1 << 20  # patterns times lengths in them; a plan has some ten thousand
 
@@ -144,6 +146,12 @@ def configuration(last: np.ndarray, lengths: np.ndarray, room: int) -> dict[int,
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> times) and copies that hold every piece of the histogram once."""
+    plans = (_rounded(histogram, patterns, share, capacity) for patterns in (covering(histogram, capacity, s) for s in STEPS) for share in SHARES)
+    return min(plans, key=lambda plan: sum(copies for _, copies in plan))
+
+
+def covering(histogram: dict[int, int], capacity: int, step: float) -> list[tuple[dict[int, int], int]]:
+    """The configurations that multiplicative weights choose, in turn, with whole numbers of copies."""
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[int(n)] for n in lengths], np.int64)
     left = need.copy()
@@ -154,16 +162,19 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dic
             break
         size = lengths[some]
         covered = 1 - left[some] / need[some]
+        before = len(patterns)
         best, last = knapsack(size, size / capacity * np.exp(-ETA * covered), capacity)
         for k in np.lexsort((-size, covered))[:LAGGING]:
             found = configuration(last, size, capacity - int(size[k]))
             found[int(k)] = found.get(int(k), 0) + 1
-            times = int(min(left[some[i]] // n for i, n in found.items()))
+            times = int(min(min(left[some[i]] // n, max(1, need[some[i]] * step // n)) for i, n in found.items()))
             if times:
                 patterns.append(({int(size[i]): n for i, n in found.items()}, times))
                 for i, n in found.items():
                     left[some[i]] -= times * n
-    return min((_rounded(histogram, patterns, share, capacity) for share in SHARES), key=lambda plan: sum(copies for _, copies in plan))
+        if len(patterns) == before:
+            break
+    return patterns
 
 
 def _rounded(histogram: dict[int, int], patterns: list[tuple[dict[int, int], int]], share: float, capacity: int) -> list[tuple[dict[int, int], int]]:

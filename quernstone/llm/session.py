@@ -27,6 +27,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts_of(rows: DataFrame) -> int:
+    """Number of partitions that rows have as they are, which is that of a mapInArrow over them."""
+    return max(1, rows.rdd.getNumPartitions())
+
+
 def batches(docs: DataFrame) -> int:
     """Number of batches for operators that hold a batch of texts in a task.
 
