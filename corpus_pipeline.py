@@ -35,9 +35,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by doc_id and text, so that different texts of one doc_id
     each count; rows without doc_id stay.
     """
-    gone = jaccard_join.jaccard_components(docs).where("not first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = (docs.doc_id == F.col("_id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    gone = jaccard_join.jaccard_components(docs).where("not first").select("doc_id", "text_hash").distinct()
+    # whole rows are one column, so that none of theirs can have the name of a key
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    kept = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
