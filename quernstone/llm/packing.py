@@ -10,11 +10,10 @@ lengths) is solved by multiplicative weights.  A length weighs its share of the
 capacity, times exp(-ETA * the share of its pieces that configurations cover
 already).  A round prices configurations by the unbounded knapsack over these
 weights, one dynamic program over all capacities, from which it takes the best
-configuration that has each of the lengths that lag most; each is used as often
+configuration that has each of the lengths that lag most, without what isn't left; each is used as often
 as its scarcest length allows, rounded down, but for at most a step of a length, so that
-all are covered alike.  Lengths of which fewer are left than
-one bin could hold, and what the last rounds leave, are the residue of the
-rounding: they go best fit first into the room of the bins that are open, and
+all are covered alike.  What the last rounds leave is the residue of the
+rounding: it goes best fit first into the room of the bins that are open, and
 into new ones, many equal bins at a time.
 
 The plan is a list of patterns (lengths and how often each) with copies.  A
@@ -46,6 +45,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 ETA = 0.3
 STEPS = (0.1, 1.0)  # of the pieces of a length that one configuration covers at most; the better plan is taken
+ENOUGH = 4  # pieces of a short length, below which it is left to the residue
 LAGGING = 48  # configurations taken from one dynamic program
 ROUNDS = 2000
 SHARES = (0.05, 0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0)  # of the copies, after which rounding may stop
@@ -125,7 +125,7 @@ def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.
         n = fits[w]
         if n:
             total = best[w - lengths[:n]] + value[:n]
-            k = int(total.argmax())
+            k = n - 1 - int(total[::-1].argmax())  # of equal ones the longest
             if total[k] > best[w]:
                 best[w], last[w] = total[k], k
     return best, last
@@ -157,7 +157,7 @@ def covering(histogram: dict[int, int], capacity: int, step: float) -> list[tupl
     left = need.copy()
     patterns: list[tuple[dict[int, int], int]] = []
     for _ in range(ROUNDS):
-        some = np.flatnonzero(left >= capacity // lengths)  # enough for any configuration
+        some = np.flatnonzero(left >= np.minimum(capacity // lengths, ENOUGH))
         if not len(some):
             break
         size = lengths[some]
@@ -167,6 +167,9 @@ def covering(histogram: dict[int, int], capacity: int, step: float) -> list[tupl
         for k in np.lexsort((-size, covered))[:LAGGING]:
             found = configuration(last, size, capacity - int(size[k]))
             found[int(k)] = found.get(int(k), 0) + 1
+            found = {i: n for i, n in ((i, min(n, int(left[some[i]]))) for i, n in found.items()) if n}
+            if not found:
+                continue
             times = int(min(min(left[some[i]] // n, max(1, need[some[i]] * step // n)) for i, n in found.items()))
             if times:
                 patterns.append(({int(size[i]): n for i, n in found.items()}, times))
