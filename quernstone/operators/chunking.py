@@ -1,23 +1,16 @@
 """Splitting lists into chunks, by count and by bytes, and runs inside them.
 
-The byte split and the block runs depend on all earlier entries of a list.
-They are folds over sorted rows with a few numbers of state: rows are hashed by
-term, sorted, and streamed through ``mapInArrow`` in batches, so that no list
-is held in memory however long it is.
+The byte split and the block runs depend on all earlier entries of a list;
+``folds`` finds them cell by cell, so that a long list is many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import varint
-from ..functions.chunks import MIN_BLOCK, Segmenter
+from ..functions.chunks import MIN_BLOCK
+from . import folds
 
 ENTRIES = 2000  # of a document-length chunk
 BYTES = 2000  # of a posting chunk's body before the next begins
@@ -58,108 +51,8 @@ def doclen_chunks(doclens: DataFrame, entries: int = ENTRIES) -> DataFrame:
     return bounds(doclen_chunk_rows(doclens, entries), [])
 
 
-class ByteSplit:
-    """Chunk number of each entry: a new chunk once the body has enough bytes.
-
-    Only where a chunk ends does Python take a step: ends are searched in the running sums of bytes.
-    """
-
-    def __init__(self, most: int):
-        self.most = most
-        self.chunk, self.bytes, self.last = 0, None, 0
-
-    def take(self, did: np.ndarray, value: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Numbers for entries in order; begins: whether an entry is the first of its list."""
-        body = varint.sizes(value)
-        gap = np.empty(len(did), np.int64)
-        gap[1:] = did[1:] - did[:-1] - 1
-        gap[0] = did[0] - self.last - 1
-        step = body + varint.sizes(np.where(begins, 0, gap))  # of an entry that goes on in its chunk
-        total = np.cumsum(step)
-        edges = np.flatnonzero(np.r_[begins, True])
-        out = np.zeros(len(did), np.int64)
-        if edges[0]:  # the list of the batch before goes on
-            self._list(0, edges[0], body, step, total, out, self.chunk, self.bytes)
-        sums = total[np.maximum(edges[1:] - 1, 0)] - total[edges[:-1]] + body[edges[:-1]]  # bytes of whole lists
-        for i in np.flatnonzero(sums >= self.most):
-            self._list(edges[i], edges[i + 1], body, step, total, out, 0, None)
-        if len(edges) > 1 and sums[-1] < self.most:
-            self.chunk, self.bytes = 0, int(sums[-1])
-        self.last = int(did[-1])
-        return out
-
-    def _list(self, a: int, end: int, body, step, total, out, chunk: int, held: int | None) -> None:
-        """Chunks of the entries a to end of one list; chunk and held are what it has so far."""
-        while a < end:
-            if held is not None and held >= self.most:
-                chunk, held = chunk + 1, None
-            base = (body[a] if held is None else held + step[a]) - total[a]
-            stop = min(end, int(np.searchsorted(total, self.most - base, "left")) + 1)
-            out[a:stop] = chunk
-            held = int(total[stop - 1] + base)
-            a = stop
-        self.chunk, self.bytes = chunk, held
-
-
-class Runs:
-    """Number of the run of each entry, for fixed-width blocks.
-
-    Entries without a neighbour on either side are runs of their own; only in
-    longer stretches of consecutive dids does Python go through the entries.
-    """
-
-    def __init__(self) -> None:
-        self.segmenter, self.run, self.last = Segmenter(), -1, None
-
-    def take(self, did: np.ndarray, value: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        follows = np.zeros(len(did), bool)
-        follows[1:] = did[1:] == did[:-1] + 1
-        follows[0] = self.last is not None and did[0] == self.last + 1
-        follows &= ~begins
-        opens = ~follows
-        near = np.flatnonzero(follows)
-        first = np.ones(len(near), bool)
-        first[1:] = near[1:] != near[:-1] + 1
-        for i, fresh in zip(near.tolist(), first.tolist(), strict=True):
-            if fresh and i:
-                self.segmenter = Segmenter()
-                self.segmenter.opens(int(did[i - 1]), int(value[i - 1]))
-            opens[i] = self.segmenter.opens(int(did[i]), int(value[i]))
-        if len(did) and not follows[-1]:
-            self.segmenter = Segmenter()
-            self.segmenter.opens(int(did[-1]), int(value[-1]))
-        self.last = int(did[-1])
-        # a list's runs count from 0
-        number = np.cumsum(opens) + self.run
-        before = np.where(begins, number, -1)
-        base = np.maximum.accumulate(np.r_[0, before])[1:] if begins.any() else np.zeros(len(did), np.int64)
-        out = np.where(np.cumsum(begins) > 0, number - base, number)
-        self.run = int(out[-1])
-        return out
-
-
-def folded(postings: DataFrame, make, name: str) -> DataFrame:
-    """postings(term, did, wdf) with the fold's number of each entry as column `name`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, term = make(), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            terms = batch.column(0)
-            begins = np.ones(batch.num_rows, bool)
-            begins[1:] = pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)
-            begins[0] = term is None or terms[0].as_py() != term
-            term = terms[-1].as_py()
-            out = state.take(batch.column(1).to_numpy(), batch.column(2).to_numpy(), begins)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], ["term", "did", "wdf", name])
-
-    rows = postings.select("term", "did", "wdf").repartition("term").sortWithinPartitions("term", "did")
-    return rows.mapInArrow(run, f"term string, did long, wdf long, {name} long")
-
-
 def posting_chunk_rows(postings: DataFrame, most: int = BYTES) -> DataFrame:
-    return folded(postings, lambda: ByteSplit(most), "chunk_no")
+    return folds.folded(postings, folds.ByteSplit(most), "chunk_no")
 
 
 def posting_chunks(postings: DataFrame, most: int = BYTES) -> DataFrame:
@@ -168,8 +61,8 @@ def posting_chunks(postings: DataFrame, most: int = BYTES) -> DataFrame:
 
 def block_runs(postings: DataFrame) -> DataFrame:
     """term, first_did, n, is_block of the greedy runs of every list."""
-    rows = folded(postings, Runs, "run")
-    return rows.groupBy("term", "run").agg(F.min("did").alias("first_did"), F.count("*").alias("n")).select("term", "first_did", "n", (F.col("n") >= MIN_BLOCK).alias("is_block"))
+    rows = folds.folded(postings, folds.Runs(), "first_did")
+    return rows.groupBy("term", "first_did").agg(F.count("*").alias("n")).select("term", "first_did", "n", (F.col("n") >= MIN_BLOCK).alias("is_block"))
 
 
 def bodies(rows: DataFrame, by: list[str], encode, value: str = "wdf") -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from ..operators import lookup, topk
-from ..sources import posting_log
+from ..functions import udtf
+from ..operators import bitmaps, lookup, topk
+from ..sources import bucketed, posting_log
 from ..sources.shared import scratch
 from ..streaming import changes
 from . import inputs as I
@@ -109,3 +111,61 @@ def interval_join(spark, sf):
     ranges = I.table(spark, sf, "orders").select(key.alias("id"), lo.alias("lo"), (lo + F.expr("shiftleft(1L, int(o_orderkey % 32))") - 2).alias("hi"))
     found = lookup.interval_join(I.doclens(spark, sf).select("did"), ranges, "lo", "hi")
     return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("did").alias("dids"))
+
+
+FIVE = (*WANTED, "la")
+
+
+def _five(body: str) -> str:
+    a, *rest = (f"'{t}'" for t in FIVE)
+    return sql(body.format(a=a, rest=", ".join(rest), all=", ".join([a, *rest])), "tokens", "postings")
+
+
+@query(_five("SELECT did FROM postings WHERE term IN ({all}) GROUP BY did"))
+def bitmap_or(spark, sf):
+    return bitmaps.any_of(I.postings(spark, sf), *FIVE)
+
+
+@query(_five("SELECT did FROM postings WHERE term IN ('the', 'of', 'and') GROUP BY did HAVING count(*) = 3"))
+def bitmap_and(spark, sf):
+    return bitmaps.all_of(I.postings(spark, sf), "the", "of", "and")
+
+
+@query(_five("SELECT did FROM postings WHERE term = {a} AND did NOT IN (SELECT did FROM postings WHERE term IN ({rest}))"))
+def bitmap_andnot(spark, sf):
+    return bitmaps.but_not(I.postings(spark, sf), *FIVE)
+
+
+@query(_five("SELECT x.term AS a, y.term AS b, count(*) AS n FROM postings x JOIN postings y USING (did) WHERE x.term IN ({all}) AND y.term IN ({all}) AND x.term < y.term GROUP BY ALL HAVING count(*) > 0"))
+def bitmap_together(spark, sf):
+    """In how many documents two of five terms are together."""
+    return bitmaps.together(I.postings(spark, sf), *((a, b) for a in FIVE for b in FIVE if a < b)).where("n > 0")
+
+
+def _named(spark, rows, kind: str, key: list[str]) -> str:
+    """A bucketed table of the rows, in the warehouse; its name."""
+    name = f"quernstone_{kind}_{uuid4().hex}"
+    bucketed.write(rows, name, key, 8)
+    return name
+
+
+@query(sql("SELECT * FROM merged_postings", *NAMES))
+def postlist_bucket_merge(spark, sf):
+    """Only the changes are exchanged."""
+    name = _named(spark, I.postings(spark, sf), "postings", bucketed.POSTING_KEY)
+    return bucketed.merged(spark, name, I.posting_changes(spark.table(name)), bucketed.POSTING_KEY, "wdf", "new_wdf")
+
+
+@query(sql("SELECT term, did, wdf, len FROM postings JOIN doclens USING (did)", "tokens", "postings", "doclens"))
+def postings_bucket_join(spark, sf):
+    """Both tables lie in buckets of did: nothing is exchanged."""
+    postings, lengths = _named(spark, I.postings(spark, sf), "by_did", ["did"]), _named(spark, I.doclens(spark, sf), "lengths", ["did"])
+    return bucketed.by_document(spark, postings, lengths)
+
+
+@query(sql("SELECT term, min(did) AS first_did, count(*) AS n FROM (SELECT term, did, did - row_number() OVER (PARTITION BY term ORDER BY did) AS island FROM postings) GROUP BY term, island", "tokens", "postings"))
+def list_runs_sql(spark, sf):
+    """A table function, called from SQL."""
+    udtf.register(spark)
+    rows = I.postings(spark, sf).select("term", "did")
+    return spark.sql("SELECT term, first_did, n FROM list_runs(TABLE(SELECT * FROM {rows}) PARTITION BY term ORDER BY did)", rows=rows)

@@ -7,7 +7,7 @@ import pytest
 
 from quernstone.functions import chunks, interpolative, sortable, varint, vs
 from quernstone.functions import columns as C
-from quernstone.operators import build, chunking, lookup, merge, stored
+from quernstone.operators import build, chunking, folds, lookup, merge, stored
 from quernstone.sources import tables
 
 
@@ -103,7 +103,7 @@ def test_folds_in_batches(spark):
     key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
     for size in ("10000", "7", "1"):
         spark.conf.set(key, size)
-        seen.append([sorted(map(tuple, f.collect())) for f in (chunking.posting_chunk_rows(rows, 30), chunking.folded(rows, chunking.Runs, "run"))])
+        seen.append([sorted(map(tuple, f.collect())) for f in (chunking.posting_chunk_rows(rows, 30), folds.folded(rows, folds.Runs(), "run"))])
         spark.conf.unset(key)
     assert seen[0] == seen[1] == seen[2]
     want, runs = [], []
@@ -115,8 +115,8 @@ def test_folds_in_batches(spark):
             held = (0 if held is None else held + varint.size(d - last - 1)) + varint.size(value(d))
             want.append((t, d, value(d), chunk))
             last = d
-        for i, (a, b) in enumerate(chunks.segments([(d, value(d)) for d in x])):
-            runs += [(t, d, value(d), i) for d in x[a:b]]
+        for a, b in chunks.segments([(d, value(d)) for d in x]):
+            runs += [(t, d, value(d), x[a]) for d in x[a:b]]
     assert seen[0] == [sorted(want), sorted(runs)]
 
 
