@@ -5,7 +5,8 @@ is dealt out in cells of ``STRIDE`` dids.  Every cell is summed up, whatever com
 before it, as a map from the state at its beginning to the state at its end; a scan
 over the cells of a list, of which there are at most 2^16, applies the maps in
 turn, one lookup each; then every cell goes through its entries from the state
-that it begins with.  So a list is as many tasks as it has cells.
+that it begins with.  So a list is as many tasks as it has cells; lists in one cell,
+which most are, are gone through together and need no maps.
 
 Maps are small.  A chunk that is held open closes at one of the first entries of
 the cell, and what follows doesn't depend on anything before.  A run only goes on
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import varint
@@ -81,6 +82,19 @@ class ByteSplit:
             return chunk + chunks[j], held[j], last
         return chunk, now + total, last
 
+    def fresh(self, did: np.ndarray, value: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Chunk number of each entry of lists that begin at the edges; only lists of several chunks take a step each."""
+        step = varint.sizes(value)
+        gap = np.diff(did, prepend=did[:1]) - 1
+        gap[edges] = 0
+        total = np.cumsum(step + varint.sizes(gap))
+        ends = np.append(edges[1:], len(did))
+        sums = total[ends - 1] - total[edges] + step[edges]
+        out = np.zeros(len(did), np.int64)
+        for a, b in zip(edges[sums >= self.most].tolist(), ends[sums >= self.most].tolist()):
+            out[a:b] = self.through(self.START, did[a:b], value[a:b])
+        return out
+
     def through(self, state: tuple[int, int, int], did: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Chunk number of each entry."""
         body = varint.sizes(value)
@@ -119,10 +133,12 @@ class Runs:
             start, size = start + size, size * 4
         return stop
 
-    def _open(self, did: np.ndarray, value: np.ndarray):
+    def _open(self, did: np.ndarray, value: np.ndarray, edges: np.ndarray | None = None):
         width = widths(value)
         n = len(did)
         gap = np.flatnonzero(np.diff(did) != 1) + 1
+        if edges is not None:
+            gap = np.union1d(gap, edges)
         limits = {w: np.union1d(gap, np.flatnonzero(width > w)) for w in WIDTHS}  # no run of a width goes on here
 
         def limit(w: int, after: int) -> int:
@@ -182,19 +198,29 @@ class Runs:
             return end, w, s + found["slack"], f
         return end, found["width"], found["slack"], found["first"]
 
+    def fresh(self, did: np.ndarray, value: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """First did of each entry's run, of lists that begin at the edges."""
+        return self._walk(did, value, 0, edges)
+
     def through(self, state: tuple, did: np.ndarray, value: np.ndarray) -> np.ndarray:
         """First did of each entry's run."""
-        width, sums, limit = self._open(did, value)
-        out, at = np.empty(len(did), np.int64), 0
         last, w, s, f = state
-        if last + 1 == did[0]:
-            at = self._end(sums[w], limit(w, -1), 0, -s)
-            out[:at] = f
-        alone = np.ones(len(did), bool)  # entries without a neighbour are runs of their own
-        alone[1:] &= np.diff(did) != 1
-        alone[:-1] &= np.diff(did) != 1
-        out[at:] = did[at:]
-        near = np.flatnonzero(~alone)
+        if last + 1 != did[0]:
+            return self._walk(did, value, 0)
+        _, sums, limit = self._open(did, value)
+        at = self._end(sums[w], limit(w, -1), 0, -s)
+        out = self._walk(did, value, at)
+        out[:at] = f
+        return out
+
+    def _walk(self, did: np.ndarray, value: np.ndarray, at: int, edges: np.ndarray | None = None) -> np.ndarray:
+        """Runs from entry `at`, where one begins; entries without a neighbour are runs of their own."""
+        width, sums, limit = self._open(did, value, edges)
+        follows = np.diff(did, prepend=did[:1] - 2) == 1
+        if edges is not None:
+            follows[edges] = False
+        near = np.flatnonzero(follows | np.append(follows[1:], False))
+        out = did.copy()
         while (k := int(np.searchsorted(near, at))) < len(near):
             at = int(near[k])
             stop = self._next(width, sums, limit, at)
@@ -266,16 +292,23 @@ def folded(postings: DataFrame, fold, name: str) -> DataFrame:
         for batch in _groups(batches):
             edges = _edges(batch)
             did, wdf = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            begin = list(zip(*[batch.column(4 + k).take(pa.array(edges)).to_pylist() for k in range(len(state))]))
-            parts = [fold.through(s, did[a:b], wdf[a:b]) for s, a, b in zip(begin, edges, [*edges[1:], batch.num_rows])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.concatenate(parts))], ["term", "did", "wdf", name])
+            out, ends = fold.fresh(did, wdf, edges), np.append(edges[1:], batch.num_rows)
+            known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)[edges]  # cells of lists that have several
+            begin = zip(*[batch.column(4 + k).take(pa.array(edges[known])).to_pylist() for k in range(len(state))])
+            for s, a, b in zip(begin, edges[known], ends[known]):
+                out[a:b] = fold.through(s, did[a:b], wdf[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out)], ["term", "did", "wdf", name])
 
     schema = f"term string, cell long, {fold.MAP}"
     arrow = _arrow(schema)
     names, types = arrow.names, arrow.types[2:]
-    maps = cells.sortWithinPartitions("term", "cell", "did").mapInArrow(summarise, schema)
+    # a list in one cell needs no maps
+    number = F.count("*").over(Window.partitionBy("term"))
+    several = cells.select("term", "cell").distinct().withColumn("n", number).where("n > 1").select("term", "cell")
+    long = cells.join(several.hint("merge"), ["term", "cell"], "left_semi")
+    maps = long.sortWithinPartitions("term", "cell", "did").mapInArrow(summarise, schema)
     states = maps.repartition("term").sortWithinPartitions("term", "cell").mapInArrow(scan, f"term string, cell long, {fold.STATE}")
-    both = cells.join(states, ["term", "cell"]).sortWithinPartitions("term", "cell", "did").select("term", "cell", "did", "wdf", *state)
+    both = cells.join(states, ["term", "cell"], "left").sortWithinPartitions("term", "cell", "did").select("term", "cell", "did", "wdf", *state)
     return both.mapInArrow(through, f"term string, did long, wdf long, {name} long")
 
 

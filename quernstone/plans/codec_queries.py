@@ -58,8 +58,8 @@ def key_order(spark, sf):
     keyed = I.ints(spark, sf).withColumn("key", C.sortable_put(F.col("v")))
     from pyspark.sql import Window
 
-    # the first byte's upper bits are the key's length; rows of one length are numbered together
-    cell = F.substring("key", 1, 1)
+    # rows of one beginning are numbered together; there are at most 2^16 beginnings for each length of a key
+    cell = F.substring("key", 1, 3)
     counts = keyed.groupBy(cell.alias("c")).agg(F.count("*").alias("n"))
     counts = counts.select("c", F.coalesce(F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = keyed.withColumn("c", cell).withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("key")))

@@ -58,6 +58,15 @@ def test_maps_compose(monkeypatch, stride):
         assert by_cells(x, folds.Runs(), stride) == walked_runs(x), seed
 
 
+def test_short_lists_together():
+    some = [lists(seed) for seed in range(80)] + [{5: 1}, {6: 1, 7: 1}]
+    did, value = (np.array([v for x in some for v in f(x)]) for f in (dict.keys, dict.values))
+    edges = np.cumsum([0, *map(len, some)])[:-1]
+    for most in (1, 30, 200):
+        assert folds.ByteSplit(most).fresh(did, value, edges).tolist() == [c for x in some for c in walked_chunks(x, most)]
+    assert folds.Runs().fresh(did, value, edges).tolist() == [r for x in some for r in walked_runs(x)]
+
+
 def test_one_list_is_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(folds, "STRIDE", 64)
     x = {d: (1, 1, 1, 300)[d * 7919 % 11 % 4] for d in range(1, 5000) if d % 500}
