@@ -37,6 +37,41 @@ def test_interval_join(spark):
     assert wide.n <= 16
 
 
+def test_interval_sums(spark):
+    rng = random.Random(5)
+    dids = sorted({rng.randrange(1 << rng.randrange(4, 32)) for _ in range(300)})
+    ranges = [(i, a, a + rng.randrange(1 << rng.randrange(1, 32)) - 1) for i, a in enumerate(rng.randrange(1 << rng.randrange(2, 32)) for _ in range(80))]
+    ranges += [(90, 5, 4), (91, 0, (1 << 32) - 1), (92, 7, 7), (93, 7, 7), (94, 0, (1 << 32) - 1)]
+    points, spans = spark.createDataFrame([(d,) for d in dids], "did long"), spark.createDataFrame(ranges, "id long, lo long, hi long")
+    held = {i: [d for d in dids if lo <= d <= hi] for i, lo, hi in ranges}
+    got = {r.id: (r.n, r.dids) for r in lookup.interval_sums(points, spans, "lo", "hi").collect()}
+    assert got == {i: (len(x), sum(x)) for i, x in held.items() if x}
+    assert lookup.interval_sums(points, spans.where("id = 90"), "lo", "hi").count() == 0
+
+
+def test_interval_sums_make_no_pairs(spark):
+    """No step has as many rows as there are pairs: 2,000 wide ranges of 500 dids."""
+    points, spans = spark.range(1, 501).select(F.col("id").alias("did")), spark.range(2000).select("id", (F.col("id") % 5).alias("lo"), (F.col("id") + 1000).alias("hi"))
+    out = lookup.interval_sums(points, spans, "lo", "hi")
+    pairs = 500 * 2000 - sum(max(0, i % 5 - 1) for i in range(2000))
+    assert sum(r.n for r in out.collect()) == pairs
+    plan = out._jdf.queryExecution()
+    out._jdf.collectAsList()
+    made, todo = 0, [plan.executedPlan()]
+    while todo:
+        p = todo.pop()
+        metrics = p.metrics()
+        if metrics.contains("numOutputRows"):
+            made = max(made, metrics.apply("numOutputRows").value())
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert 0 < made < pairs / 5
+
+
 def test_top_documents(spark, tmp_path):
     rng = random.Random(4)
     # weights differ between regions of dids, so that bounds can tell cells apart
