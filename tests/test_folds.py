@@ -80,3 +80,32 @@ def test_one_list_is_many_tasks(spark, monkeypatch):
             assert [r.n for r in got.orderBy("did").collect()] == want
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def final_plan(rows):
+    rows._jdf.collectAsList()
+    return rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", ["postlist_chunks", "chunk_max_did", "chunk_validate", "postlist_key"])
+def test_words_are_counted_once(spark, name):
+    from quernstone import catalog
+
+    plan = final_plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan") == 1
+
+
+def test_runs_hold_no_table(spark):
+    """Runs of consecutive dids come from the sorted rows; the only aggregate is that of the postings."""
+    from quernstone import catalog
+
+    assert final_plan(catalog.QUERIES["did_runs"](spark, "/root/testdata/sf0.001")).count("HashAggregate") == 2
+
+
+def test_short_lists_are_whole_in_a_task(spark):
+    """A list of few entries that are far apart is not dealt out in cells."""
+    rows = spark.createDataFrame([(t, d << 20, 1) for t in "ab" for d in range(1, 40)], "term string, did long, wdf long")
+    got = folds.folded(rows, folds.ByteSplit(10), "n")
+    assert "MapInArrow summarise" not in final_plan(got)
+    x = {d << 20: 1 for d in range(1, 40)}
+    assert [r.n for r in got.where("term = 'b'").orderBy("did").collect()] == walked_chunks(x, 10)
