@@ -79,9 +79,10 @@ def postlist_stream(spark, sf):
     at = F.timestamp_seconds(F.lit(1_000_000) + F.col("did") % 1000).alias("at")
     last = rows.select("term", "did", "new_wdf", at, F.lit(2).cast("long").alias("seq"))
     stale = rows.select("term", "did", F.lit(999_999).cast("long").alias("new_wdf"), at, F.lit(1).cast("long").alias("seq"))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of a feed, and of a batch
     for part in (last.where("did % 2 = 0"), stale.unionByName(last.where("did % 2 = 0")), last.where("did % 2 = 1")):
-        part.coalesce(1).write.mode("append").parquet(feed)  # files of a feed: a batch each
-    changes.start(changes.from_files(spark, feed), path, state).awaitTermination()
+        part.repartition(files).write.mode("append").parquet(feed)
+    changes.start(changes.from_files(spark, feed, files), path, state).awaitTermination()
     return posting_log.read(spark, path)
 
 

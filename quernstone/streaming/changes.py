@@ -7,7 +7,8 @@ state keeps the (at, seq) of the last change that was passed on, and only a
 later one goes through.  The state of a posting is given up when the watermark
 has passed its change: whatever still comes after that is later, because rows
 behind the watermark are dropped.  So the state holds the changes of the last
-`delay`, not the table.
+`delay`, not the table.  Postings are dealt out in ``BUCKETS`` by a hash, each with
+one state, a table: a batch calls Python once for a bucket, not for each posting.
 
 Every micro-batch adds its changes to the table as one run, so bytes written
 follow the changes.  The snapshot names the batch, and a batch that is replayed
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,27 +33,41 @@ from ..sources import posting_log
 CHANGES = "term string, did long, new_wdf long, at timestamp, seq long"
 OUT = "term string, did long, new_wdf long"
 DELAY = "1 hour"
-STATE = "at long, seq long"  # at: microseconds
+BUCKETS = 512  # a checkpoint holds on to them
+STATE = "held binary"  # term, did, micros, seq as an Arrow stream
+KEY, ORDER = ["term", "did"], ["micros", "seq"]
+
+
+def _packed(held: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(held, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def last_change(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Passes on a change of a posting that is later than all before it."""
+    """Passes on the changes of a bucket's postings that are later than all before them."""
     if state.hasTimedOut:
         state.remove()
         return
-    found = None
-    for part in parts:
-        times = part["at"].astype("datetime64[us]").astype("int64").tolist()
-        for at, seq, value in zip(times, part["seq"].tolist(), part["new_wdf"].tolist()):
-            # of equal order the larger value counts, and any value before none: as posting tables do
-            one = (at, seq, -1 if value is None or value != value else int(value))
-            found = one if found is None else max(found, one)
-    if found is None or (state.exists and tuple(state.get) >= found[:2]):
-        return
-    at, seq, value = found
-    state.update((at, seq))
-    state.setTimeoutTimestamp(at // 1000 + 1)
-    yield pd.DataFrame({"term": [key[0]], "did": [key[1]], "new_wdf": pd.array([None if value < 0 else value], dtype="Int64")})
+    new = pd.concat([part[[*KEY, *ORDER, "new_wdf"]] for part in parts], ignore_index=True)
+    # of equal order the larger value counts, and any value before none: as posting tables do
+    new["new_wdf"] = new["new_wdf"].astype("Int64").fillna(-1).astype("int64")
+    new = new.sort_values([*ORDER, "new_wdf"]).drop_duplicates(KEY, keep="last")
+    held = None
+    if state.exists:
+        held = pa.ipc.open_stream(bytes(state.get[0])).read_pandas()
+        both = new.merge(held, "left", KEY, suffixes=("", "_held"))
+        later = both["micros_held"].isna() | (both["micros"] > both["micros_held"]) | ((both["micros"] == both["micros_held"]) & (both["seq"] > both["seq_held"]))
+        new = both[later]
+    kept = new[[*KEY, *ORDER]] if held is None else pd.concat([held, new[[*KEY, *ORDER]]]).drop_duplicates(KEY, keep="last")
+    kept = kept[kept["micros"] // 1000 + 1 > state.getCurrentWatermarkMs()]
+    if len(kept):
+        state.update((_packed(kept),))
+        state.setTimeoutTimestamp(int(kept["micros"].max()) // 1000 + 1)
+    elif state.exists:
+        state.remove()
+    yield new[KEY].assign(new_wdf=new["new_wdf"].astype("Int64").mask(new["new_wdf"] < 0)).reset_index(drop=True)
 
 
 def lengths(changes: DataFrame) -> DataFrame:
@@ -67,14 +83,19 @@ def from_files(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
 def last_changes(changes: DataFrame, delay: str = DELAY) -> DataFrame:
     """term, did, new_wdf of the changes of a stream that count."""
     keyed = changes.where("term is not null and did is not null and at is not null").withColumn("seq", F.coalesce("seq", F.lit(0).cast("long")))
-    return keyed.withWatermark("at", delay).groupBy("term", "did").applyInPandasWithState(last_change, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    keyed = keyed.withWatermark("at", delay).withColumns({"micros": F.unix_micros("at"), "bucket": F.pmod(F.xxhash64("term", "did"), F.lit(BUCKETS))})
+    return keyed.groupBy("bucket").applyInPandasWithState(last_change, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def start(changes: DataFrame, path: str, checkpoint: str, name: str = "changes", delay: str = DELAY, fan: int = posting_log.FAN) -> StreamingQuery:
     """Merge a stream of changes into the posting table under path, until what is there now is done."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        posting_log.merge(batch.sparkSession, path, batch, stream=(name, number))
+        batch.persist()  # its rows are sampled and written
+        try:
+            posting_log.merge(batch.sparkSession, path, batch, stream=(name, number))
+        finally:
+            batch.unpersist()
         posting_log.compact(batch.sparkSession, path, fan)
 
     writer = last_changes(changes, delay).writeStream.outputMode("update").foreachBatch(apply)

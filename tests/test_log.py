@@ -258,3 +258,25 @@ def test_stream_of_lengths(spark, path, tmp_path):
     changes.lengths(new).coalesce(1).write.parquet(folder)
     run(spark, folder, path, tmp_path)
     assert state(spark, path) == {("", 2): 6, ("", 3): 7}
+
+
+def test_stream_calls_python_once_for_a_bucket(spark, path, tmp_path, monkeypatch):
+    """Postings share states: 3,000 changed postings are at most a state and a timer a bucket."""
+    monkeypatch.setattr(changes, "BUCKETS", 8)
+    folder = str(tmp_path / "feed")
+    log.create(rows(spark, {("a", d): 1 for d in range(3000)}), path, buckets=1)
+    feed(spark, folder, [(("a", d), 2, d % 7, 1) for d in range(3000)])
+    feed(spark, folder, [(("a", d), 3, d % 5, 2) for d in range(3000)])
+    q = run(spark, folder, path, tmp_path)
+    assert state(spark, path) == {("a", d): 3 if d % 5 >= d % 7 else 2 for d in range(3000)}
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 16
+
+
+def test_large_runs_are_not_sent_to_the_driver(spark, path, monkeypatch):
+    monkeypatch.setattr(log, "KEPT_APART", 0)
+    log.create(rows(spark, {("a", d): 1 for d in range(50)}), path)
+    log.merge(spark, path, rows(spark, {("a", d): 2 for d in range(9)}, NEW))
+    out = log.read(spark, path)
+    assert out.count() == 50
+    out._jdf.collectAsList()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
