@@ -146,3 +146,28 @@ def test_stems():
         assert (word, *stem.stem_with_rule(word)) == (word, stemmed, int(rule))
     assert len(stem.ALL) == 115
     assert stem.stem("") == "" and stem.stem("don'") == "don'" and stem.stem("RUNNING") == "RUNNING"
+
+
+def test_many_values_at_once():
+    import numpy as np
+
+    from quernstone.functions import varint
+
+    some = [0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1, 1 << 28, (1 << 32) - 1]
+    buf, size = varint.puts(np.array(some))
+    assert buf.tobytes() == b"".join(map(varint.put, some)) and size.tolist() == [varint.size(v) for v in some]
+    back, ends = varint.gets(buf)
+    assert back.tolist() == some and ends.tolist() == np.cumsum(size).tolist()
+    for bad, error in ((b"\x80", varint.CorruptData), (b"\xff" * 5 + b"\x01", varint.ValueRange), (b"\xff\xff\xff\xff\x1f", varint.ValueRange)):
+        with pytest.raises(error):
+            varint.gets(np.frombuffer(bad, np.uint8))
+
+
+def test_stored_chunks_split_once(spark):
+    """Headers, bodies and totals of stored chunks come from one split of the lists."""
+    from quernstone import catalog
+
+    rows = catalog.QUERIES["stored_headers"](spark, "/root/testdata/sf0.001")
+    rows._jdf.collectAsList()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow through") <= 2
