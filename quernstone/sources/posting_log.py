@@ -192,8 +192,8 @@ def _current(spark: SparkSession, path: str, runs: Iterable[Run], wanted: tuple[
     touched = {r.bucket for r in above}
     changed = _last(of(above))
     keys = changed.select("term", "did")
-    if sum(r.rows for r in above) <= KEPT_APART:
-        keys = F.broadcast(keys)
+    # else no join may change its mind: rows of runs pack so well that they would be taken for few, and come to the driver
+    keys = F.broadcast(keys) if sum(r.rows for r in above) <= KEPT_APART else keys.hint("merge")
     kept = of([r for r in base if r.bucket in touched]).select("term", "did", "wdf").join(keys, ["term", "did"], "left_anti")
     whole = of([r for r in base if r.bucket not in touched]).select("term", "did", "wdf")
     return whole.unionByName(kept).unionByName(changed.where("wdf is not null"))
