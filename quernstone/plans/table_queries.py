@@ -169,5 +169,4 @@ def postings_bucket_join(spark, sf):
 def list_runs_sql(spark, sf):
     """A table function, called from SQL."""
     udtf.register(spark)
-    rows = I.postings(spark, sf).select("term", "did")
-    return spark.sql("SELECT term, first_did, n FROM list_runs(TABLE(SELECT * FROM {rows}) PARTITION BY term ORDER BY did)", rows=rows)
+    return spark.sql(f"SELECT term, first_did, n FROM list_runs(TABLE(SELECT * FROM {{rows}}) PARTITION BY pmod(hash(term), {udtf.BUCKETS}) ORDER BY (term, did))", rows=I.places(spark, sf))
