@@ -97,7 +97,7 @@ TOP = f"""SELECT row_number() OVER (ORDER BY score DESC, did) AS rank, did, scor
 def postlist_topk(spark, sf):
     """By relative frequency; cells whose bounds are too small are not read."""
     path = scratch(spark, "impacts")
-    rows = lookup.with_doclength(I.postings(spark, sf), I.doclens(spark, sf))
+    rows = I.postings_with_length(spark, sf)
     topk.write_impacts(topk.impacts(rows, F.expr("wdf * 1000000 div len"), IMPACT_CELL), path)
     return topk.top(spark, path, WANTED, K)
 

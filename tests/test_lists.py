@@ -93,3 +93,14 @@ def test_lists_side_by_side(spark, monkeypatch):
     rows = [(f"t{k}", int(d)) for k, g in enumerate(lists) for d in np.cumsum(g) for _ in range(1 + d % 2)]
     found = partitions.bits(spark.createDataFrame(rng.sample(rows, len(rows)), "term string, did long"))
     assert {tuple(r) for r in found.collect()} == {(f"t{k}", *w) for k, w in enumerate(want)}
+
+
+def test_words_and_lengths_come_together(spark):
+    """Postings with the length of their document: the text is read once, and nothing is joined."""
+    from quernstone.operators import build
+
+    docs = spark.createDataFrame([(0, "a b a"), (1, None), (2, ""), (3, "B c d")], "doc_id long, text string")
+    found = build.postings_with_length(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Join" not in plan and plan.count("Exchange") == 1
+    assert {tuple(r) for r in found.collect()} == {("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 4, 1, 3), ("c", 4, 1, 3), ("d", 4, 1, 3)}
