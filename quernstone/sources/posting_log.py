@@ -31,6 +31,7 @@ FAN = 4  # runs of a level that become one of the next
 LEVELS = 3  # of runs above the base
 SHARE = 4  # runs of this part of the base's rows are merged into it
 KEPT_APART = 1 << 18  # rows of runs up to which a read sends them to all tasks
+HELD = 1 << 19  # rows of runs up to which a task of a read holds them
 TRIES = 20
 
 ROWS = "term string, did long, wdf long, gen string, term_bucket int"
@@ -175,7 +176,7 @@ def _rows_of(spark: SparkSession, path: str, runs: Iterable[Run]) -> DataFrame:
 
 def _last(rows: DataFrame) -> DataFrame:
     """Of the rows of each posting the one that counts, what is taken away included."""
-    return rows.groupBy("term", "did").agg(F.max(F.struct("at", "wdf"))["wdf"].alias("wdf"))
+    return rows.groupBy("term", "did").agg(F.max_by("wdf", "at").alias("wdf"))  # a run has a posting once, so no two are equal
 
 
 def _current(spark: SparkSession, path: str, runs: Iterable[Run], wanted: tuple[str, ...]) -> DataFrame:
@@ -190,13 +191,17 @@ def _current(spark: SparkSession, path: str, runs: Iterable[Run], wanted: tuple[
     if not above:
         return of(base).select("term", "did", "wdf")
     touched = {r.bucket for r in above}
-    changed = _last(of(above))
-    keys = changed.select("term", "did")
-    # else no join may change its mind: rows of runs pack so well that they would be taken for few, and come to the driver
-    keys = F.broadcast(keys) if sum(r.rows for r in above) <= KEPT_APART else keys.hint("merge")
-    kept = of([r for r in base if r.bucket in touched]).select("term", "did", "wdf").join(keys, ["term", "did"], "left_anti")
+    changed, rows = _last(of(above)), sum(r.rows for r in above)
     whole = of([r for r in base if r.bucket not in touched]).select("term", "did", "wdf")
-    return whole.unionByName(kept).unionByName(changed.where("wdf is not null"))
+    below = of([r for r in base if r.bucket in touched]).select("term", "did", "wdf")
+    if rows <= KEPT_APART:
+        kept = below.join(F.broadcast(changed.select("term", "did")), ["term", "did"], "left_anti")
+        return whole.unionByName(kept).unionByName(changed.where("wdf is not null"))
+    # runs are read once, and no join may change its mind: their rows pack so well that they would be taken for few, and come to the driver
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    said = changed.select("term", "did", F.col("wdf").alias("_new"), F.lit(True).alias("_said")).hint("shuffle_hash" if rows <= tasks * HELD else "merge")
+    wdf = F.when(F.col("_said"), F.col("_new")).otherwise(F.col("wdf")).alias("wdf")
+    return whole.unionByName(below.join(said, ["term", "did"], "full_outer").select("term", "did", wdf).where("wdf is not null"))
 
 
 # ---- the table

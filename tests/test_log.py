@@ -280,3 +280,19 @@ def test_large_runs_are_not_sent_to_the_driver(spark, path, monkeypatch):
     assert out.count() == 50
     out._jdf.collectAsList()
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_large_runs_are_read_once(spark, path, monkeypatch):
+    """Of large runs each is scanned once, joined without a sort where tasks can hold it, and merged the same either way."""
+    start = {(t, d): d for t in "abcdef" for d in range(40)}
+    first, second = {("a", d): None for d in range(30)}, {(t, d): d + 100 for t in "abx" for d in range(20, 60)}
+    want = after(after(start, first), second)
+    log.create(rows(spark, start), path, buckets=4)
+    log.merge(spark, path, rows(spark, first, NEW))
+    log.merge(spark, path, rows(spark, second, NEW))
+    monkeypatch.setattr(log, "KEPT_APART", 0)
+    for held, sorts in ((log.HELD, 0), (0, 2)):
+        monkeypatch.setattr(log, "HELD", held)
+        plan = log.read(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert state(spark, path) == want
+        assert plan.count("FileScan") == 3 and plan.count("Sort [") == sorts
