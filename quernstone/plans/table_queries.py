@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import udtf
 from ..operators import bitmaps, lookup, topk
 from ..sources import bucketed, posting_log
-from ..sources.shared import scratch
+from ..sources.shared import discard, scratch
 from ..streaming import changes
 from . import inputs as I
 from .inputs import WANTED, sql
 
 QUERIES, ORACLES = {}, {}
-PARTS = 3  # change sets
+PARTS = 3  # change sets, or batches of a stream
 NAMES = ("tokens", "postings", "posting_changes", "merged_postings")
 
 
@@ -32,8 +32,8 @@ def query(oracle: str | None = None):
 
 def _changed(spark, sf) -> str:
     """A table of all postings, and the changes over it in three sets; its path."""
-    path, rows = scratch(spark, "postings"), I.postings(spark, sf)
-    posting_log.create(rows, path)
+    path = scratch(spark, "postings")
+    posting_log.create(I.posting_parts(spark, sf), path, parts=True)
     base = posting_log.read(spark, path)
     for k in range(PARTS):
         posting_log.merge(spark, path, I.posting_changes(base).where(F.pmod("did", F.lit(PARTS)) == k))
@@ -74,15 +74,17 @@ def postlist_as_of(spark, sf):
 def postlist_stream(spark, sf):
     """Changes that come as a stream, the last of each posting before an outdated one, and some twice."""
     path, feed, state = (scratch(spark, n) for n in ("postings", "feed", "state"))
-    posting_log.create(I.postings(spark, sf), path)
+    posting_log.create(I.posting_parts(spark, sf), path, parts=True)
     rows = I.posting_changes(posting_log.read(spark, path))
     at = F.timestamp_seconds(F.lit(1_000_000) + F.col("did") % 1000).alias("at")
     last = rows.select("term", "did", "new_wdf", at, F.lit(2).cast("long").alias("seq"))
     stale = rows.select("term", "did", F.lit(999_999).cast("long").alias("new_wdf"), at, F.lit(1).cast("long").alias("seq"))
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of a feed, and of a batch
     for part in (last.where("did % 2 = 0"), stale.unionByName(last.where("did % 2 = 0")), last.where("did % 2 = 1")):
-        part.repartition(files).write.mode("append").parquet(feed)
-    changes.start(changes.from_files(spark, feed, files), path, state).awaitTermination()
+        part.write.mode("append").option("compression", "zstd").parquet(feed)  # as the table is read: not exchanged, and in order
+    files = len(spark.read.parquet(feed).inputFiles())
+    changes.start(changes.from_files(spark, feed, -(-files // PARTS)), path, state).awaitTermination()
+    for done in (feed, state):
+        discard(spark, done)
     return posting_log.read(spark, path)
 
 

@@ -17,7 +17,7 @@ the base, from which what was taken away is gone.  Bytes are range-partitioned b
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from uuid import uuid4
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import latest
+from .shared import shuffles_freed
 
 TERM_BUCKETS = 64
 FAN = 4  # runs of a level that become one of the next
@@ -98,6 +99,10 @@ class _Files:
             if self.fs.exists(target):  # another writer was first
                 return False
             raise
+        inside = (*final, staged[-1])  # a local file system moves a folder into one that has just come up
+        if self.fs.exists(self.at(*inside)):
+            self.delete(*inside)
+            return False
         return True
 
 
@@ -145,12 +150,20 @@ def bucket_of(buckets: int):
     return F.pmod(F.hash("term"), F.lit(buckets))
 
 
-def _write(rows: DataFrame, path: str, buckets: int) -> tuple[str, dict[int, int]]:
-    """Write rows(term, did, wdf) as one generation; its name and the rows in each bucket."""
+PLACE = ["term_bucket", "term", "did"]
+
+
+def _write(rows: DataFrame, path: str, buckets: int, once: Callable[[DataFrame], DataFrame] | None = None) -> tuple[str, dict[int, int]]:
+    """Write rows(term, did, wdf) as one generation; its name and the rows in each bucket.
+
+    Rows that have a posting several times become one by `once`, which groups by PLACE: the range partitions
+    have all rows of a posting together, so that nothing else is exchanged.
+    """
     spark, gen = rows.sparkSession, uuid4().hex
-    order = ["term_bucket", "term", "did"]
-    keyed = rows.select("term", "did", "wdf", bucket_of(buckets).cast("int").alias("term_bucket"))
-    keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("term_bucket").parquet(f"{path}/data/gen={gen}")
+    dealt = rows.withColumn("term_bucket", bucket_of(buckets).cast("int")).repartitionByRange(*PLACE)
+    one = (once(dealt) if once else dealt).select("term", "did", "wdf", "term_bucket")
+    with shuffles_freed(spark):
+        one.sortWithinPartitions(*PLACE).write.partitionBy("term_bucket").parquet(f"{path}/data/gen={gen}")
     written = _rows(spark, path, [gen]).groupBy("term_bucket").agg(F.count("*").alias("n")).collect()  # at most a row a bucket
     return gen, {r.term_bucket: r.n for r in written}
 
@@ -207,10 +220,11 @@ def _current(spark: SparkSession, path: str, runs: Iterable[Run], wanted: tuple[
 # ---- the table
 
 
-def create(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> int:
-    """Write postings(term, did, wdf) as the next version of a table, whatever it held before."""
+def create(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS, parts: bool = False) -> int:
+    """Write postings(term, did, wdf) as the next version of a table, whatever it held before; the wdf of `parts` are added up."""
     spark = postings.sparkSession
-    gen, rows = _write(postings, path, buckets)
+    added = (lambda rows: rows.groupBy(*PLACE).agg(F.sum("wdf").alias("wdf"))) if parts else None
+    gen, rows = _write(postings.select("term", "did", "wdf"), path, buckets, added)
     for _ in range(TRIES):
         old = snapshot(spark, path)
         version = old.version + 1
@@ -246,8 +260,8 @@ def merge(spark: SparkSession, path: str, changes: DataFrame, order: list[str] |
         raise ValueError(f"no table at {path}")
     if stream and table.streams.get(stream[0], -1) >= stream[1]:
         return table.version
-    one = latest(changes.where("term is not null and did is not null"), ["term", "did"], "new_wdf", order)
-    gen, rows = _write(one.withColumnRenamed("new_wdf", "wdf"), path, table.buckets)
+    some = changes.where("term is not null and did is not null").select("term", "did", "new_wdf", *[c for c in order or [] if c not in ("term", "did", "new_wdf")])
+    gen, rows = _write(some, path, table.buckets, lambda rows: latest(rows, PLACE, "new_wdf", order).withColumnRenamed("new_wdf", "wdf"))
     if not rows and not stream:
         return table.version
     for _ in range(TRIES):

@@ -1,13 +1,16 @@
 """Posting tables: merge when read, levels, snapshots, writers side by side, streams of changes."""
 
 import random
+import time
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
 
-from quernstone.operators import merge
+from quernstone.operators import build, merge
+from quernstone.plans import table_queries
 from quernstone.sources import posting_log as log
+from quernstone.sources import shared
 from quernstone.streaming import changes
 
 ROWS, NEW = "term string, did long, wdf long", "term string, did long, new_wdf long"
@@ -296,3 +299,91 @@ def test_large_runs_are_read_once(spark, path, monkeypatch):
         plan = log.read(spark, path)._jdf.queryExecution().executedPlan().toString()
         assert state(spark, path) == want
         assert plan.count("FileScan") == 3 and plan.count("Sort [") == sorts
+
+
+def shuffle_files(spark):
+    """Of this machine's only block manager."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffle_files(spark, path, tmp_path):
+    """Tables, change sets, compactions and streams give their disk back when they end, whenever the driver collects garbage."""
+    before, folder = shuffle_files(spark), str(tmp_path / "feed")
+    log.create(spark.range(20_000).selectExpr("concat('t', id % 7) as term", "id as did", "1L as wdf"), path)
+    log.merge(spark, path, spark.range(9_000).selectExpr("concat('t', id % 7) as term", "id as did", "2L as new_wdf"))
+    log.compact(spark, path, whole=True)
+    for t in (5, 9):
+        feed(spark, folder, [(("t0", d), t, t, 1) for d in range(0, 700, 7)])
+    run(spark, folder, path, tmp_path)
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    small = [f for f in left if f.endswith(".data")]
+    assert len(small) <= 3, small  # counts of rows a bucket
+    assert spark.conf.get(shared.CLEANUP) == "false"
+    got = state(spark, path)
+    assert len(got) == 20_000 and sum(got.values()) == 9_000 * 2 + 11_000 + 100 * 7
+
+
+def test_the_setting_for_shuffles_is_restored_by_the_last(spark):
+    with shared.shuffles_freed(spark):
+        with shared.shuffles_freed(spark):
+            assert spark.conf.get(shared.CLEANUP) == "true"
+        assert spark.conf.get(shared.CLEANUP) == "true"
+    assert spark.conf.get(shared.CLEANUP) == "false"
+
+
+def test_a_table_of_parts(spark, path):
+    """Postings of each row of documents, those of a repeated doc_id added up, through one exchange."""
+    docs = spark.createDataFrame([(1, "The cat, the CAT the"), (2, None), (3, "..."), (1, "cat x"), (4, "z"), (5, ""), (6, "a b a b a")], "doc_id long, text string")
+    want = {(r.term, r.did): r.wdf for r in build.postings(build.tokens(docs)).collect()}
+    parts = build.posting_parts(docs)
+    assert [f.dataType for f in parts.schema] == [f.dataType for f in build.postings(build.tokens(docs)).schema]
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+    assert want["cat", 2] == 3 and parts.count() == len(want) + 1
+    log.create(parts, path, parts=True)
+    assert state(spark, path) == want
+    dealt = parts.withColumn("term_bucket", log.bucket_of(4).cast("int")).repartitionByRange(*log.PLACE)
+    added = dealt.groupBy(*log.PLACE).count()._jdf.queryExecution().executedPlan().toString()
+    assert added.count("Exchange ") == 1
+
+
+def test_a_batch_without_news_writes_no_state(spark, path, tmp_path):
+    """Repeated and outdated changes leave the states' files small; their timeouts still hold."""
+    folder = str(tmp_path / "feed")
+    log.create(rows(spark, {}), path, buckets=1)
+    batch = [(("a", d), 1, d % 50, 2) for d in range(5000)]
+    for again in (batch, [(k, 9, t, 1) for k, _, t, _ in batch], batch):
+        feed(spark, folder, again)
+    run(spark, folder, path, tmp_path)
+    assert state(spark, path) == {("a", d): 1 for d in range(5000)}
+    size = {v: sum(p.stat().st_size for p in (tmp_path / "state" / "state" / "0").rglob(f"{v}.delta")) for v in (1, 2, 3)}
+    assert size[2] * 10 < size[1] and size[3] * 10 < size[1]
+    feed(spark, folder, [(("a", 1), 7, 400_000, 1)])
+    q = run(spark, folder, path, tmp_path)
+    assert state(spark, path)["a", 1] == 7
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 4
+
+
+def test_a_state_is_small(spark):
+    """In order and packed, a fifth of what its columns take; older states are still read."""
+    import pandas as pd
+    import pyarrow as pa
+
+    d = range(20_000)
+    held = pd.DataFrame({"term": [f"word{i % 40}" for i in d], "did": d, "micros": [10**12 + i % 1000 * 10**6 for i in d], "seq": [2] * len(d)})
+    packed = changes._packed(held)
+    assert len(packed) * 5 < 20_000 * 34
+    assert changes._unpacked(packed).equals(held.sort_values(["term", "did"], ignore_index=True))
+    table, sink = pa.Table.from_pandas(held, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    assert changes._unpacked(sink.getvalue().to_pybytes()).equals(held)
+
+
+def test_the_stream_query_leaves_its_table_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(table_queries, "scratch", lambda spark, name: str(tmp_path / name))
+    out = table_queries.postlist_stream(spark, "/root/testdata/sf0.001")
+    assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"postings"} and out.count() > 0
